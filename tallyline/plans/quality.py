@@ -310,7 +310,7 @@ def workflow_events(spark: SparkSession, d: str) -> DataFrame:
 
 @query("vx5_workflow_state", ["queue", "events_log"], """
     with res as (select exception_id, min(event_id) as at, min_by(kind, event_id) as kind, min_by(actor, event_id) as
-      actor from events_log where action = 'resolved' and kind in ('accept', 'exclude', 'fixed_at_source', 'apply_fix')
+      actor from events_log where action = 'resolved' and kind in ('accept', 'exclude', 'fixed_at_source')
       and length(reason_text) >= 10 group by 1),
     asg as (select e.exception_id, max_by(new_owner, event_id) as owner from events_log e join queue q using
       (exception_id) left join res r using (exception_id) where action = 'assigned' and q.status <> 'resolved' and
