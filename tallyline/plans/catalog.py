@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from tallyline.plans import daily, measures, publishing, quality  # noqa: F401
+from tallyline.plans import daily, measures, profiling, publishing, quality  # noqa: F401

@@ -44,7 +44,8 @@ for _name, _keys in s.GRAINS.items():
     cte(f"daily_{_name}", ["flags"],
         f"select {', '.join(['issue_date as metric_date', *_keys])}, {_COLS} from flags group by all")
 _R = ["otif_rate", "on_time_rate", "fill_rate_count", "fill_rate_weight"]
-_SHOW = ", ".join(f"round({c}, 6) as {c}" for c in _R)
+# a ratio of summed weights may sit exactly between two roundings; the nudge takes both sides off that edge
+_SHOW = ", ".join(f"round({c} + cast(1e-9 as double), 6) as {c}" for c in _R)
 
 
 def _segment_sql(keys: list[str]) -> str:
@@ -61,7 +62,8 @@ def daily(spark: SparkSession, d: str) -> DataFrame:
         segment = F.concat_ws("|", *[F.coalesce(F.col(k), F.lit("")) for k in keys]) if keys else F.lit("")
         part = s.daily_series(base, keys).withColumn("grain", F.lit(name)).withColumn("segment", segment).drop(*keys)
         out = part if out is None else out.unionByName(part)
-    return _day(round6(out, *_R).withColumn("ordered_weight_lb", F.round("ordered_weight_lb", 4)))
+    nudged = out.withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in _R})
+    return _day(nudged.withColumn("ordered_weight_lb", F.round("ordered_weight_lb", 4)))
 
 
 _BACKLOG = """select cast(dd.day as varchar) as metric_date, p.plant, cast(count(f.order_no) as bigint) as

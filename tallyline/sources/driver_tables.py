@@ -30,6 +30,11 @@ def _pad(x: str, n: int) -> str:
     return f"case when length(cast({x} as string)) < {n} then lpad(cast({x} as string), {n}, '0') else cast({x} as string) end"
 
 
+# Case weights vary around the item's average. Exact decimals: no engine rounds them differently.
+_WEIGHT = ("cast(l_quantity * lb_per_case as decimal(9,0)) "
+           "* cast(1 + ((l_partkey % 7) - 3) * 0.001e0 as decimal(5,3))")
+_UNIT = "case when kg_fault then 2.2046226218e0 else 1e0 end"
+
 # One list per projection level; a later level may use the names of an earlier one.
 LEVELS: list[list[str]] = [
     [
@@ -63,11 +68,11 @@ LEVELS: list[list[str]] = [
         "cast(requested_date + cast(case when l_linenumber % 6 = 0 then 1 + l_suppkey % 3 else 0 end as int) as date)"
         " as confirmed_delivery_date",
         "(site <> '1' or order_year >= '1999') as has_lot",
-        "cast(cast(l_quantity * lb_per_case / case when kg_fault then 2.2046226218e0 else 1e0 end "
-        "as decimal(18,4)) as double) as ordered_weight_lb",
-        "cast(cast(l_quantity * lb_per_case * (1 - l_discount / 4) "
-        "* case when (l_partkey + l_linenumber) % 173 = 0 then 1.2e0 else 1e0 end "
-        "/ case when kg_fault then 2.2046226218e0 else 1e0 end as decimal(18,4)) as double) as invoiced_weight_lb",
+        f"cast(cast(cast({_WEIGHT} as decimal(18,4)) / {_UNIT} as decimal(18,4)) as double) as ordered_weight_lb",
+        f"cast(cast(cast({_WEIGHT} * cast(1 - l_discount / 4 as decimal(6,4)) "
+        "* case when (l_partkey + l_linenumber) % 173 = 0 then cast(1.2 as decimal(3,1)) "
+        f"else cast(1 as decimal(3,1)) end as decimal(18,4)) / {_UNIT} as decimal(18,4)) as double) "
+        "as invoiced_weight_lb",
         "case when kg_fault then 'KG' else master_uom end as uom",
     ],
     [
@@ -291,6 +296,21 @@ def _nested(base: str) -> str:
     return text
 
 
+def _cells() -> str:
+    from tallyline.schema import COLUMNS
+
+    parts = []
+    for i, c in enumerate(COLUMNS):
+        three = [(_PLT01 + ["lot_no"])[i], _PLT02[i], _PLT03[i]]
+        second = f"case when order_year >= '1998' then 'customer_number' else '{three[1]}' end" if i == 2 \
+            else f"'{three[1]}'"
+        keep = " where has_lot" if c == "lot_no" else ""
+        parts.append(f"select batch_id, source, source_row, {i} as position, case source when 'plt01' then "
+                     f"'{three[0]}' when 'plt02' then {second} else '{three[2]}' end as col, r_{c} as value from raw"
+                     f"{keep}")
+    return " union all ".join(parts)
+
+
 CTES: dict[str, tuple[list[str], str]] = {
     "wide": ([], _nested(
         "select * from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey")),
@@ -303,4 +323,5 @@ CTES: dict[str, tuple[list[str], str]] = {
                       "count(*) as row_count from wide group by 1, 2, 3) _"),
     "raw": (["wide"], "select batch_id, source, order_year, has_lot, source_row, "
                       f"{', '.join(raw_exprs('duck'))} from wide"),
+    "cells": (["raw"], _cells()),
 }
