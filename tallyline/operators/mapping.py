@@ -7,14 +7,19 @@ the extracts hold; it still runs for all sources and headers in one job.
 from __future__ import annotations
 
 import re
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyline.schema import DATE_PARSERS, KIND, REQUIRED, TRANSFORMS, canonical_fields
 
+# Python workers get these functions by value, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 NAME_WEIGHT = 0.55
 MIN_SCORE = 0.45
 CANONICAL_CUSTOMER_SHAPE = "A999999"

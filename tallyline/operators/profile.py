@@ -77,9 +77,9 @@ def column_stats(counts: DataFrame, by: Sequence[str]) -> DataFrame:
         _weighted(f & F.col("_num").isNotNull()).alias("_decimal"),
         _weighted(f & (F.col("_num") < 0)).alias("_negative"),
         F.min(F.when(f, F.col("_num"))).alias("_min"), F.max(F.when(f, F.col("_num"))).alias("_max"),
-        _weighted(f & F.try_to_date(F.col("_text"), F.lit("yyyy-MM-dd")).isNotNull()).alias("_iso_ok"),
-        _weighted(f & F.try_to_date(F.col("_text"), F.lit("M/d/yyyy")).isNotNull()).alias("_us_ok"),
-        _weighted(f & F.try_to_date(F.col("_text"), F.lit("d/M/yyyy")).isNotNull()).alias("_dmy_ok"))
+        _weighted(f & F.try_to_date(F.col("_text"), "yyyy-MM-dd").isNotNull()).alias("_iso_ok"),
+        _weighted(f & F.try_to_date(F.col("_text"), "M/d/yyyy").isNotNull()).alias("_us_ok"),
+        _weighted(f & F.try_to_date(F.col("_text"), "d/M/yyyy").isNotNull()).alias("_dmy_ok"))
     share = lambda c: F.when(F.col("filled") == 0, F.lit(0.0)).otherwise(F.col(c) / F.col("filled"))
     big = lambda c: F.coalesce(F.col(c) > 12, F.lit(False))
     slash_format = F.when(big("_second") & ~big("_first"), "us").when(big("_first") & ~big("_second"), "dmy") \

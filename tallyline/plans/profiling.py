@@ -413,7 +413,7 @@ def version_numbers(spark: SparkSession, d: str) -> DataFrame:
 def bronze_to_silver(spark: SparkSession, d: str) -> DataFrame:
     from tallyline.operators.ingest import build_silver
 
-    out = build_silver(with_hash(spark, d), dt.mapping_versions(spark, d))
+    out = build_silver(dt.bronze(spark, d), dt.mapping_versions(spark, d))
     errors = F.array_join(F.transform(F.map_entries("parse_errors"), lambda e: F.concat_ws("=", e["key"], e["value"])),
                           ";")
     return out.select("batch_id", "source_row", "order_no", "line_no", "customer_no", "item_no", "plant",
@@ -423,16 +423,6 @@ def bronze_to_silver(spark: SparkSession, d: str) -> DataFrame:
                       "lot_no", errors.alias("parse_errors"))
 
 
-def with_hash(spark: SparkSession, d: str) -> DataFrame:
-    """Bronze rows with their header's label."""
-    b = dt.bronze(spark, d)
-    label = F.lit(None).cast("string")
-    for source, lo, hi, _ in dt.HEADERS:
-        hit = (F.col("source") == source) & (F.col("order_year") >= lo) & (F.col("order_year") < hi)
-        label = F.when(hit, F.lit(f"{source}-{'a' if lo == '0000' else 'b'}")).otherwise(label)
-    return b.withColumn("header_hash", label)
-
-
 @query("f02_mapping_gate", ["bts"], """select batch_id, case when header_hash in ('plt01-b', 'plt03-a') then 'mapped' else
     'blocked' end as status, case when header_hash not in ('plt01-b', 'plt03-a') then concat(
     'no confirmed mapping for header ', header_hash, '; propose and confirm one, then run again') end as error from bts""")

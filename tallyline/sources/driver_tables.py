@@ -8,12 +8,14 @@ number: it needs no shuffle, whatever the number of files.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.schema import FieldDictionary, lot_dictionary
+from tallyline.session import fresh_path
 
 LOT_START = "1999-06-01"  # the lot requirement's first day on these tables
 
@@ -253,15 +255,37 @@ def header_of(source: str, year: str) -> list[str]:
     return next(h for s, lo, hi, h in HEADERS if s == source and lo <= year < hi)
 
 
+_stored: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, d: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table, written once per session to the shared folder and read from there afterwards."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _stored:
+        path = fresh_path(spark, name)
+        build().write.parquet(path)
+        _stored[key] = path
+    return spark.read.parquet(_stored[key])
+
+
 def bronze(spark: SparkSession, d: str) -> DataFrame:
-    """Bronze rows: the file's own header names as map keys, text values, nothing typed."""
+    """Bronze rows: the file's own header names as map keys, text values, nothing typed. Bronze is a stored table:
+    whatever reads it starts from its files, not from the projection that made it."""
+    return stored(spark, d, "bronze", lambda: _bronze(spark, d))
+
+
+def _bronze(spark: SparkSession, d: str) -> DataFrame:
     raw = raw_lines(spark, d)
-    record = F.lit(None).cast("map<string,string>")
+    names, label = F.lit(None).cast("array<string>"), F.lit(None).cast("string")
     for source, lo, hi, header in HEADERS:
-        pairs = [x for h, r in zip(header, raw_names()) for x in (F.lit(h), F.col(r))]
-        record = F.when((F.col("source") == source) & (F.col("order_year") >= lo) & (F.col("order_year") < hi),
-                        F.create_map(*pairs)).otherwise(record)
-    return raw.select("batch_id", "source", "order_year", "source_row", record.alias("record"))
+        hit = (F.col("source") == source) & (F.col("order_year") >= lo) & (F.col("order_year") < hi)
+        names = F.when(hit, F.array(*[F.lit(h) for h in header])).otherwise(names)
+        label = F.when(hit, F.lit(f"{source}-{'a' if lo == '0000' else 'b'}")).otherwise(label)
+    # the values once, whatever the header: a header only names a prefix of them
+    named = raw.select("batch_id", "source", "order_year", "source_row", label.alias("header_hash"),
+                       names.alias("_names"), F.array(*raw_names()).alias("_values"))
+    return named.select("batch_id", "source", "order_year", "source_row", "header_hash", F.map_from_arrays(
+        "_names", F.slice("_values", F.lit(1), F.size("_names"))).alias("record"))
 
 
 def mapping_versions(spark: SparkSession, d: str) -> DataFrame:
