@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from tallyline.plans import daily, measures, profiling, publishing, quality, search  # noqa: F401
+from tallyline.plans import daily, extracts, measures, operations, profiling, publishing, quality, search  # noqa: F401

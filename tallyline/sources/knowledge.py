@@ -13,14 +13,18 @@ META = ["doc_id", "title", "doc_type", "version", "effective_date", "status", "a
         "superseded_by", "audience"]
 
 
-def documents(spark: SparkSession, path: str) -> DataFrame:
-    """One row per markdown file: its frontmatter as columns and its body. NULL doc_id marks a file without one."""
-    raw = spark.read.text(path, wholetext=True, pathGlobFilter="*.md").select(
-        F.col("_metadata.file_name").alias("file_name"), F.regexp_replace("value", "\r\n", "\n").alias("value"))
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """Markdown files as (file_name, value), one row per file."""
+    return spark.read.text(path, wholetext=True, pathGlobFilter="*.md").select(
+        F.col("_metadata.file_name").alias("file_name"), "value")
+
+
+def documents(files: DataFrame) -> DataFrame:
+    """Files (file_name, value) as frontmatter columns and body. A NULL doc_id marks a file without frontmatter."""
+    raw = files.select("file_name", F.regexp_replace("value", "\r\n", "\n").alias("value"))
     lines = F.split(F.regexp_extract("value", FRONTMATTER, 1), "\n")
     pairs = F.transform(F.filter(lines, lambda x: F.contains(x, F.lit(":"))), lambda x: F.struct(
-        strip(F.substring_index(x, ":", 1)).alias("key"),
-        strip(F.regexp_replace(x, "^[^:]*:", "")).alias("value")))
+        strip(F.substring_index(x, ":", 1)).alias("key"), strip(F.regexp_replace(x, "^[^:]*:", "")).alias("value")))
     meta = raw.select("file_name", F.map_from_entries(pairs).alias("m"),
                       F.regexp_extract("value", FRONTMATTER, 2).alias("body"))
     blank = lambda c: F.when(~c.isin("", "None", "null"), c)
