@@ -26,7 +26,8 @@ def extract_root(spark: SparkSession, d: str) -> str:
             label = f"{source}-{'a' if lo == '0000' else 'b'}"
             (b.where(F.col("header_hash") == label)
              .select("source", "order_year", *[F.element_at("record", h).alias(h) for h in header])
-             .write.partitionBy("source", "order_year").option("header", True).csv(f"{root}/{label}"))
+             .write.partitionBy("source", "order_year").option("header", True).option("ignoreTrailingWhiteSpace", False)
+             .option("ignoreLeadingWhiteSpace", False).csv(f"{root}/{label}"))
         _written[key] = root
     return _written[key]
 

@@ -65,11 +65,13 @@ cte("mm", ["cells", "custs", "its", "plts"], f"""select * from (select *, row_nu
 
 
 def source_counts(spark: SparkSession, d: str) -> DataFrame:
-    return pf.value_counts(pf.cells(dt.bronze(spark, d)), ["source"])
+    """The value table every profile statistic reads; stored, because a profile reads it several times."""
+    return dt.stored(spark, d, "source_values", lambda: pf.value_counts(pf.cells(dt.bronze(spark, d)), ["source"]))
 
 
 def batch_counts(spark: SparkSession, d: str) -> DataFrame:
-    return pf.value_counts(pf.cells(dt.bronze(spark, d)), ["source", "batch_id"])
+    return dt.stored(spark, d, "batch_values", lambda: pf.value_counts(pf.cells(dt.bronze(spark, d)),
+                                                                     ["source", "batch_id"]))
 
 
 def master_keys(spark: SparkSession, d: str) -> DataFrame:
@@ -227,6 +229,11 @@ def union_of_headers(spark: SparkSession, d: str) -> DataFrame:
 # ---- mapping -------------------------------------------------------------------------------------------------
 
 def mapping_profile(spark: SparkSession, d: str) -> DataFrame:
+    """One row per source column; a profile is made once per set of extracts and kept."""
+    return dt.stored(spark, d, "profile", lambda: _mapping_profile(spark, d))
+
+
+def _mapping_profile(spark: SparkSession, d: str) -> DataFrame:
     counts = source_counts(spark, d)
     stats = pf.column_stats(counts, ["source"])
     matches = pf.master_match(counts, master_keys(spark, d))

@@ -108,7 +108,7 @@ cte("ex", ["ol", "custs", "its", "lts"], " union all ".join([
                   "from ol) x"),
     _rule_sql("V009", "upper(trim(x_uom)) <> m_uom",
               f"concat('item_no=', item_no, ';likely_unit=', {_LIKELY}, ';master_uom=', m_uom, ';uom=', x_uom, "
-              f"';weight_to_expected_lb_ratio=', {_t(f'cast(round({_RATIO}, 3) as double)')})",
+              f"';weight_to_expected_lb_ratio=', {_t(f'cast(round_even({_RATIO}, 3) as double)')})",
               "concat('UOM ', x_uom, ' differs from item master basis ', m_uom)",
               f"concat('Weights look recorded in ', {_LIKELY}, ': convert to lb and set UOM to ', m_uom, "
               "', keeping the original')",
