@@ -91,6 +91,7 @@ _COMMON = {"Literal", "UnresolvedAttribute", "LessThan", "LessThanOrEqual", "Gre
            "UnresolvedFunction", "UnresolvedStar"}
 _ROW_FUNCTIONS = {"if", "negative", "+", "-", "*", "/", "=", "==", "<>", "!=", "<", "<=", ">", ">=", "and", "or",
                   "not", "in"}
+_CONSTANTS = ("boolean", "int", "bigint", "double", "decimal", "string")
 _AGGREGATES = {"sum", "avg", "count", "min", "max"}
 
 
@@ -103,6 +104,8 @@ def check_expression(spark: SparkSession, text: str, aggregate: bool) -> set[str
         kind = n.getClass().getSimpleName()
         if kind not in _COMMON:
             raise MetricError(f"{text!r}: {kind} is not allowed in a metric")
+        if kind == "Literal" and n.dataType().simpleString().split("(")[0] not in _CONSTANTS:
+            raise MetricError(f"{text!r}: only true/false, numbers and text may be constants")
         if kind == "UnresolvedAttribute":
             names.add(n.sql().replace("`", ""))
             if aggregate and not inside:
