@@ -25,7 +25,7 @@ QUESTION_EXPRS = [
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    return dt.table(spark, d, "documents").selectExpr(*CHUNK_EXPRS)
+    return dt.spread(dt.table(spark, d, "documents"), "doc_id").selectExpr(*CHUNK_EXPRS)
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
