@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from tallyline.session import fresh_path
+
 
 def fresh_name(df: DataFrame, name: str) -> str:
     """`name`, lengthened until no column of `df` has it."""
@@ -11,3 +13,10 @@ def fresh_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` once to the shared folder, compressed well, and read it back; its lineage ends there."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
