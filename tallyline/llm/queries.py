@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm import encoding, packing, quality, sharding
+from tallyline.llm import encoding, packing, quality, sharding, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,6 +30,29 @@ def op1_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "offset")
 
 
+@query
+def op4_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.without_repeats(table(spark, sf_dir, "documents"), size=20)
+    return cut.select("row.doc_id", "n_words", "n_removed", F.sha2("kept_words", 256).alias("kept_sha256"))
+
+
+ORACLES["op4_difference_cover"] = r"""with w as (
+  select doc_id, unnest(words) as word, generate_subscripts(words, 1) as p, len(words) as n, words
+  from (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents)),
+win as (select doc_id, p, list_slice(words, p, p + 19) as key from w where p + 19 <= n),
+firsts as (select key, min((doc_id, p)) as f from win group by key),
+bad as (select win.doc_id, win.p from win join firsts using (key) where (win.doc_id, win.p) <> firsts.f),
+flag as (select w.doc_id, w.p, w.word, max(case when bad.p is not null then w.p end)
+    over (partition by w.doc_id order by w.p) as last_bad
+  from w left join bad on w.doc_id = bad.doc_id and w.p = bad.p),
+agg as (select doc_id, count(*) as n_words, count(*) filter (last_bad is not null and p - last_bad < 20) as n_removed,
+    coalesce(string_agg(word, ' ' order by p) filter (last_bad is null or p - last_bad >= 20), '') as kept
+  from flag group by doc_id)
+select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed,
+  sha256(coalesce(kept, '')) as kept_sha256
+from documents d left join agg on d.doc_id = agg.doc_id"""
+
+
 @query
 def op8_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encoding.round_trip_digests(F.col("text"), public_tokenizers.path("word_bpe_49k.json"))
