@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm import encoding, packing, quality, sharding, substrings
+from tallyline.llm import encoding, near_duplicates, packing, quality, sharding, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,6 +53,29 @@ select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_re
 from documents d left join agg on d.doc_id = agg.doc_id"""
 
 
+@query
+def op6_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
+ORACLES["op6_superminhash"] = r"""with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as materialized (select doc_id, list_distinct(case when len(w) > 1
+    then list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) else w end) as s from w),
+items as materialized (select doc_id, len(s) as n, unnest(s) as item from s),
+pairs as (select a.doc_id as a, b.doc_id as b, a.n as na, b.n as nb, count(*) as shared
+  from items a join items b on a.item = b.item and a.doc_id < b.doc_id
+    and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  group by a.doc_id, b.doc_id, a.n, b.n),
+edges as materialized (select a, b from pairs where 100 * shared >= 80 * (na + nb - shared)),
+sides as materialized (select a, b from edges union select b, a from edges),
+reach(a, b) as (select doc_id, doc_id from documents union select r.a, e.b from reach r join sides e on r.b = e.a),
+roots as (select a as doc_id, min(b) as component_id from reach group by a)
+select s.doc_id, len(s.s) as n_shingles, r.component_id, s.doc_id = r.component_id as kept
+from s join roots r on s.doc_id = r.doc_id"""
+
+
 @query
 def op8_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encoding.round_trip_digests(F.col("text"), public_tokenizers.path("word_bpe_49k.json"))
