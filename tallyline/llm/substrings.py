@@ -5,7 +5,7 @@ there is a k below v with i + k and j + k both at cover positions modulo v: if t
 the anchors of size - v + 1 words at i + k and j + k are equal and both are hashed, though only |D| of v positions are.
 
 1. Anchors at cover positions go to buckets by hash; those that occur twice nominate their documents' positions.
-2. A nominated match is extended: every window of `size` words around a repeated anchor is hashed with 128 bits and the
+2. A nominated match is extended: every window of `size` words around a repeated anchor is hashed with 96 bits and the
    earliest (doc_id, start) of each window wins; the other windows are repeats. Windows without a repeated anchor are
    never looked at, and no pairs of documents are formed.
 3. Words covered by a repeat are removed.
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.blobs import bucket_count, bucket_of, by_bucket, gathered, parted, rows, runs
+from tallyline.llm.blobs import bucket_count, bucket_of, by_bucket, gathered, rows, runs
 from tallyline.llm.words import Hasher, Words, blocks, mix, window_hashes
 
 SIZE = 20
@@ -38,16 +38,17 @@ MIN_ANCHOR = 6
 FLUSH = 600_000
 _WORD, _CHECK = Hasher(seed=41), Hasher(seed=42)
 _KNOWN = 2**40 - 1  # stands for "repeated inside the sending task"; no document has this key
-_SPOTS = pa.schema([("bucket", pa.int32()), ("low", pa.binary()), ("high", pa.binary()), ("doc_low", pa.binary()),
-                    ("doc_high", pa.binary()), ("spot", pa.binary())])
-_SPOTS_DDL = "bucket int, low binary, high binary, doc_low binary, doc_high binary, spot binary"
-_NOMINATED = pa.schema([("doc", pa.int64()), ("spots", pa.binary())])
-_WINDOWS = pa.schema([("bucket", pa.int32()), ("h1", pa.binary()), ("h2", pa.binary()), ("at", pa.binary()),
-                      ("start", pa.binary()), ("docs", pa.binary()), ("ids", pa.binary()), ("marks", pa.binary()),
-                      ("n_docs", pa.int64())])
-_WINDOWS_DDL = ("bucket int, h1 binary, h2 binary, at binary, start binary, docs binary, ids binary, marks binary, "
-                "n_docs bigint")
-_REPEATS = pa.schema([("doc", pa.int64()), ("id", pa.int64()), ("mark", pa.int64()), ("starts", pa.binary())])
+_SPOTS = pa.schema([("bucket", pa.int32()), ("low", pa.binary()), ("high", pa.binary()), ("docs", pa.binary()),
+                    ("counts", pa.binary()), ("spots", pa.binary())])
+_SPOTS_DDL = "bucket int, low binary, high binary, docs binary, counts binary, spots binary"
+_NOMINATED = pa.schema([("to", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("spots", pa.binary())])
+_NOMINATED_DDL = "to int, docs binary, counts binary, spots binary"
+_WINDOWS = pa.schema([("bucket", pa.int32()), ("h1", pa.binary()), ("h2", pa.binary()), ("docs", pa.binary()),
+                      ("ids", pa.binary()), ("marks", pa.binary()), ("counts", pa.binary()), ("starts", pa.binary())])
+_WINDOWS_DDL = ("bucket int, h1 binary, h2 binary, docs binary, ids binary, marks binary, counts binary, starts binary")
+_REPEATS = pa.schema([("to", pa.int32()), ("docs", pa.binary()), ("ids", pa.binary()), ("marks", pa.binary()),
+                      ("counts", pa.binary()), ("starts", pa.binary())])
+_REPEATS_DDL = "to int, docs binary, ids binary, marks binary, counts binary, starts binary"
 
 
 def cover(size: int) -> tuple[int, np.ndarray]:
@@ -58,11 +59,12 @@ def cover(size: int) -> tuple[int, np.ndarray]:
     return fit[-1][0], np.array(fit[-1][1])
 
 
-def _grouped(doc: np.ndarray, spot: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(doc, kind="stable")
+def _per_doc(doc: np.ndarray, spot: np.ndarray) -> dict[str, np.ndarray]:
+    """Positions in order of document, with the documents once and the number of positions of each."""
+    order = np.lexsort((spot, doc))
     begin = runs(doc[order])
-    for part, at in zip(parted(spot[order], begin), begin, strict=True):
-        yield int(doc[order[at]]), part
+    return {"docs": doc[order[begin]], "counts": np.diff(np.append(begin, len(doc))).astype("<u4"),
+            "spots": spot[order].astype("<u4")}
 
 
 def _anchors(size: int, buckets: int):
@@ -79,16 +81,14 @@ def _anchors(size: int, buckets: int):
         count = np.diff(np.append(begin, len(h)))
         again = np.repeat(count > 1, count)
         # equal anchors of this task are repeats already; their bucket only has to know that the hash exists
-        known = [{"bucket": -1 - d % buckets, "doc_low": np.uint64([d]), "spot": s.astype("<u4")}
-                 for d, s in _grouped(doc[again], spot[again])]
-        one = np.where(count > 1, _KNOWN, doc[begin]).astype(np.uint64)
-        key = h[begin]
-        out = [{"bucket": b, **c} for b, c in by_bucket(bucket_of(key, buckets), {
-            "low": key.astype("<u4"), "high": (key >> np.uint64(32)).astype(np.uint8), "doc_low": one.astype("<u4"),
-            "doc_high": (one >> np.uint64(32)).astype(np.uint8), "spot": spot[begin].astype("<u4")})]
-        for k in range(0, len(known), 2000):
-            yield rows(known[k: k + 2000], _SPOTS)
-        yield rows(out, _SPOTS)
+        known = [{"bucket": -1 - g, **_per_doc(c["doc"], c["spot"])} for g, c in by_bucket(
+            doc[again] % buckets, {"doc": doc[again], "spot": spot[again]})]
+        one, key, out = np.where(count > 1, _KNOWN, doc[begin]), h[begin], []
+        for b, c in by_bucket(bucket_of(key, buckets), {"key": key, "doc": one, "spot": spot[begin]}):
+            order = np.lexsort((c["spot"], c["doc"]))  # as _per_doc has them
+            out.append({"bucket": b, "low": c["key"][order].astype("<u4"),
+                        "high": (c["key"][order] >> np.uint64(32)).astype(np.uint8), **_per_doc(c["doc"], c["spot"])})
+        yield rows(known + out, _SPOTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
@@ -111,24 +111,41 @@ def _anchors(size: int, buckets: int):
     return run
 
 
-def _nominate(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A bucket's repeated anchors, as positions per document; what the senders knew passes through."""
-    if key[0].as_py() < 0:
-        for batch in batches:
-            docs = [int(np.frombuffer(d, "<u8")[0]) for d in batch.column("doc_low").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), batch.column("spot")], schema=_NOMINATED)
-        return
-    got = gathered(batches, {"low": "<u4", "high": "u1", "doc_low": "<u4", "doc_high": "u1", "spot": "<u4"})
-    h = got["low"].astype(np.uint64) | (got["high"].astype(np.uint64) << np.uint64(32))
-    order = np.argsort(h)
-    count = np.diff(np.append(runs(h[order]), len(h)))
-    doc = (got["doc_low"].astype(np.int64) | (got["doc_high"].astype(np.int64) << 32))[order]
-    known = doc == _KNOWN
-    # one entry that is known to repeat makes its whole run repeats
-    again = np.repeat((count > 1) | (np.add.reduceat(known, runs(h[order])) > 0 if len(h) else False), count) & ~known
-    found = [{"doc": d, "spots": s.astype("<u4")} for d, s in _grouped(doc[again], got["spot"][order][again])]
-    for k in range(0, len(found), 5000):
-        yield rows(found[k: k + 5000], _NOMINATED)
+def _nominate(buckets: int):
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A bucket's repeated anchors, dealt out by document; what the senders knew passes through."""
+        if key[0].as_py() < 0:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([-1 - key[0].as_py()] * len(batch), pa.int32()), *(
+                    batch.column(c) for c in ("docs", "counts", "spots"))], schema=_NOMINATED)
+            return
+        got, _ = gathered(batches, {"low": "<u4", "high": "u1", "docs": "<i8", "counts": "<u4", "spots": "<u4"})
+        h = got["low"].astype(np.uint64) | (got["high"].astype(np.uint64) << np.uint64(32))
+        order = np.argsort(h)
+        begin = runs(h[order])
+        count = np.diff(np.append(begin, len(h)))
+        doc = np.repeat(got["docs"], got["counts"])[order]
+        known = doc == _KNOWN
+        # one entry that is known to repeat makes its whole run repeats
+        again = np.repeat((count > 1) | (np.add.reduceat(known, begin) > 0), count) & ~known
+        doc, spot = doc[again], got["spots"][order][again]
+        yield rows([{"to": g, **_per_doc(c["doc"], c["spot"])}
+                    for g, c in by_bucket(doc % buckets, {"doc": doc, "spot": spot})], _NOMINATED)
+    return run
+
+
+def _nominated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per document of a group: its positions from all buckets."""
+    got, _ = gathered(batches, {"docs": "<i8", "counts": "<u4", "spots": "<u4"})
+    all_ = _per_doc(np.repeat(got["docs"], got["counts"]), got["spots"])
+    yield pa.RecordBatch.from_arrays([pa.array(all_["docs"]), _cells(all_["spots"], all_["counts"])], ["doc", "spots"])
+
+
+def _cells(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """32-bit numbers as a binary cell per run."""
+    ends = np.append(0, np.cumsum(counts, dtype=np.int64)) * 4
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int32)),
+                                                            pa.py_buffer(np.ascontiguousarray(values, "<u4"))])
 
 
 def _first_wins(h1, h2, ids, marks, start) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,11 +158,18 @@ def _first_wins(h1, h2, ids, marks, start) -> tuple[np.ndarray, np.ndarray, np.n
     return order, order[begin], again
 
 
-def _repeat_rows(docs, ids, marks, start) -> list[dict[str, object]]:
-    order = np.lexsort((marks, ids, docs))
+def _per_text(docs, ids, marks, start) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """An order by text, and in it the texts once, the number of starts of each, and the starts."""
+    order = np.lexsort((start, marks, ids, docs))
     begin = runs(docs[order], ids[order], marks[order])
-    return [{"doc": int(docs[order[a]]), "id": int(ids[order[a]]), "mark": int(marks[order[a]]), "starts": s.astype("<u4")}
-            for a, s in zip(begin, parted(start[order], begin), strict=True)]
+    first = order[begin]
+    return order, {"docs": docs[first], "ids": ids[first], "marks": marks[first],
+                   "counts": np.diff(np.append(begin, len(order))).astype("<u4"), "starts": start[order].astype("<u4")}
+
+
+def _dealt(docs, ids, marks, start, buckets: int) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+    for g, c in by_bucket(docs % buckets, {"docs": docs, "ids": ids, "marks": marks, "start": start}):
+        yield g, _per_text(**c)[1]
 
 
 def _extend(size: int, buckets: int):
@@ -155,21 +179,11 @@ def _extend(size: int, buckets: int):
         h1, h2, docs, ids, marks, start = (np.concatenate(x) for x in zip(*parts, strict=True))
         order, first, again = _first_wins(h1, h2, ids, marks, start)
         hit = order[again]
-        known = [{"bucket": -1 - r["doc"] % buckets, "docs": np.int64([r["doc"]]), "ids": np.int64([r["id"]]),
-                  "marks": np.int64([r["mark"]]), "start": r["starts"], "n_docs": 1}
-                 for r in _repeat_rows(docs[hit], ids[hit], marks[hit], start[hit])]
-        for k in range(0, len(known), 2000):
-            yield rows(known[k: k + 2000], _WINDOWS)
-        out = []
-        for b, c in by_bucket(bucket_of(h1[first], buckets), {"h1": h1[first], "h2": h2[first], "e": first}):
-            e = c.pop("e")
-            by_doc = np.lexsort((start[e], marks[e], ids[e], docs[e]))
-            e = e[by_doc]
-            begin = runs(docs[e], ids[e], marks[e])
-            at = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(e))))
-            out.append({"bucket": b, "h1": c["h1"][by_doc], "h2": c["h2"][by_doc], "at": at.astype("<u4"),
-                        "start": start[e].astype("<u4"), "docs": docs[e[begin]], "ids": ids[e[begin]],
-                        "marks": marks[e[begin]], "n_docs": len(begin)})
+        out = [{"bucket": -1 - g, **c} for g, c in _dealt(docs[hit], ids[hit], marks[hit], start[hit], buckets)]
+        for b, c in by_bucket(bucket_of(h1[first], buckets), {"e": first}):
+            e = c["e"]
+            order, texts = _per_text(docs[e], ids[e], marks[e], start[e])
+            out.append({"bucket": b, "h1": h1[e[order]], "h2": h2[e[order]], **texts})
         yield rows(out, _WINDOWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +196,7 @@ def _extend(size: int, buckets: int):
                 # a window is a candidate if a repeated anchor begins in its first `period` words
                 mark = np.zeros(len(words) + 1, np.int64)
                 for i in range(row, end):
-                    at = np.frombuffer(b"".join(spots[i]), "<u4").astype(np.int64)
+                    at = np.frombuffer(spots[i], "<u4").astype(np.int64)
                     at = at[at < words.counts[i - row]] + words.first[i - row]  # a key shared by two documents
                     mark[at] = 1
                 seen = np.append(0, np.cumsum(mark))
@@ -192,7 +206,7 @@ def _extend(size: int, buckets: int):
                     owner, at = owner[on], at[on]
                     rid = row + owner
                     parts.append((window_hashes(words.hashes(_WORD), size)[at],
-                                  window_hashes(words.hashes(_CHECK), size, 0x9FB21C651E98DF25)[at],
+                                  window_hashes(words.hashes(_CHECK), size, 0x9FB21C651E98DF25)[at].astype(np.uint32),
                                   docs[rid], ids[rid], marks[rid], at - words.first[owner]))
                     held += len(at)
                 if held >= FLUSH:
@@ -203,27 +217,37 @@ def _extend(size: int, buckets: int):
     return run
 
 
-def _decide(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A bucket's repeated windows, as starts per document; what the senders knew passes through."""
-    if key[0].as_py() < 0:
-        for batch in batches:
-            cells = [[int(np.frombuffer(x, "<i8")[0]) for x in batch.column(c).to_pylist()] for c in ("docs", "ids", "marks")]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cells), batch.column("start")],
-                                             schema=_REPEATS)
-        return
-    held = list(batches)
-    got = gathered(iter(held), {"h1": "<u8", "h2": "<u8", "at": "<u4", "start": "<u4", "docs": "<i8", "ids": "<i8",
-                                "marks": "<i8"})
-    # `at` counts inside each row's own documents
-    n = np.concatenate([b.column("n_docs").to_numpy() for b in held])
-    entries = [len(x) // 4 for b in held for x in b.column("at").to_pylist()]
-    at = got["at"].astype(np.int64) + np.repeat(np.cumsum(n) - n, entries)
-    docs, ids, marks = got["docs"][at], got["ids"][at], got["marks"][at]
-    order, _, again = _first_wins(got["h1"], got["h2"], ids, marks, got["start"])
-    hit = order[again]
-    found = _repeat_rows(docs[hit], ids[hit], marks[hit], got["start"][hit])
-    for k in range(0, len(found), 5000):
-        yield rows(found[k: k + 5000], _REPEATS)
+_TEXTS = {"docs": "<i8", "ids": "<i8", "marks": "<i8", "counts": "<u4", "starts": "<u4"}
+
+
+def _spread(got: dict[str, np.ndarray]) -> list[np.ndarray]:
+    return [np.repeat(got[c], got["counts"]) for c in ("docs", "ids", "marks")] + [got["starts"]]
+
+
+def _decide(buckets: int):
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A bucket's repeated windows, dealt out by document; what the senders knew passes through."""
+        if key[0].as_py() < 0:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([-1 - key[0].as_py()] * len(batch), pa.int32()), *(
+                    batch.column(c) for c in _TEXTS)], schema=_REPEATS)
+            return
+        got, _ = gathered(batches, {"h1": "<u8", "h2": "<u4", **_TEXTS})
+        docs, ids, marks, start = _spread(got)
+        order, _, again = _first_wins(got["h1"], got["h2"], ids, marks, start)
+        hit = order[again]
+        yield rows([{"to": g, **c} for g, c in _dealt(docs[hit], ids[hit], marks[hit], start[hit], buckets)], _REPEATS)
+    return run
+
+
+def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per key of a group: the texts with that key and the starts of their repeats."""
+    _, texts = _per_text(*_spread(gathered(batches, _TEXTS)[0]))
+    begin = runs(texts["docs"])
+    ends = pa.array(np.append(begin, len(texts["docs"])), pa.int32())
+    yield pa.RecordBatch.from_arrays([pa.array(texts["docs"][begin]), *(pa.ListArray.from_arrays(ends, x) for x in (
+        pa.array(texts["ids"]), pa.array(texts["marks"]), _cells(texts["starts"], texts["counts"])))],
+        ["doc", "ids", "marks", "starts"])
 
 
 def covered(starts: np.ndarray, n_words: int, size: int) -> np.ndarray:
@@ -237,17 +261,17 @@ def covered(starts: np.ndarray, n_words: int, size: int) -> np.ndarray:
 def _keep(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, marks = (batch.column(c).to_numpy() for c in ("id", "mark"))
+            own_ids, own_marks = (batch.column(c).to_numpy() for c in ("id", "mark"))
             for row, end, data, offsets in blocks(batch.column("text")):
                 words = Words(data, offsets)
-                repeats = batch.column("repeats").slice(row, end - row).to_pylist()
+                repeats = [batch.column(c).slice(row, end - row).to_pylist() for c in ("ids", "marks", "starts")]
                 raw = data.tobytes()
                 gone = np.zeros(len(words), bool)
                 kept, joined = [], []
                 for i in range(end - row):
                     a, b = words.first[i], words.first[i + 1]
-                    starts = [np.frombuffer(r["starts"], "<u4") for r in repeats[i] or []
-                              if r["id"] == ids[row + i] and r["mark"] == marks[row + i]]
+                    starts = [np.frombuffer(s, "<u4") for d, m, s in zip(*(c[i] or () for c in repeats), strict=True)
+                              if d == own_ids[row + i] and m == own_marks[row + i]]
                     if starts:
                         gone[a:b] = covered(np.concatenate(starts).astype(np.int64), b - a, size)
                     stay = ~gone[a:b]
@@ -278,15 +302,17 @@ def without_repeats(documents: DataFrame, size: int = SIZE) -> DataFrame:
     late = F.lit(2**62) + F.shiftrightunsigned(mark, 2)
     docs = documents.select(
         F.coalesce(F.col("doc_id").cast("long"), late).alias("id"), mark.alias("mark"),
-        F.pmod(F.xxhash64(F.col("doc_id"), text), F.lit(_KNOWN)).alias("doc"), text.alias("text"),
+        # even, so never _KNOWN, and never NULL, so that both joins below read one exchange
+        F.xxhash64(F.col("doc_id"), text).bitwiseAND(_KNOWN - 1).alias("doc"), text.alias("text"),
         F.struct(*[c for c in documents.columns if c != "text"]).alias("row"))
     spots = (docs.select("doc", "text").mapInArrow(_anchors(size, buckets), _SPOTS_DDL)
-             .groupBy("bucket").applyInArrow(_nominate, "doc bigint, spots binary")
-             .groupBy("doc").agg(F.collect_list("spots").alias("spots")))
+             .groupBy("bucket").applyInArrow(_nominate(buckets), _NOMINATED_DDL)
+             .groupBy("to").applyInArrow(_nominated, "doc bigint, spots binary"))
     # both joins deal the texts out by `doc`, so the exchange of the texts is made once
     repeats = (docs.join(spots, "doc").mapInArrow(_extend(size, buckets), _WINDOWS_DDL)
-               .groupBy("bucket").applyInArrow(_decide, "doc bigint, id bigint, mark bigint, starts binary")
-               .groupBy("doc").agg(F.collect_list(F.struct("id", "mark", "starts")).alias("repeats")))
+               .groupBy("bucket").applyInArrow(_decide(buckets), _REPEATS_DDL)
+               .groupBy("to").applyInArrow(
+                   _repeats, "doc bigint, ids array<bigint>, marks array<bigint>, starts array<binary>"))
     row_type = docs.schema["row"].dataType.simpleString()
     return docs.join(repeats, "doc", "left").mapInArrow(
         _keep(size), f"row {row_type}, kept_text string, kept_words string, n_words bigint, n_removed bigint")

@@ -71,7 +71,7 @@ def test_flushes_and_buckets_do_not_show(spark, monkeypatch):
     docs = list(enumerate(texts()))
     df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
     monkeypatch.setattr(substrings, "FLUSH", 50)
-    batches = df.select(F.pmod(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), F.lit(2**40 - 1)).alias("doc"),
+    batches = df.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).bitwiseAND(2**40 - 2).alias("doc"),
                         F.coalesce("text", F.lit("")).alias("text")).toArrow().to_batches()
     small = list(substrings._anchors(8, 3)(iter(batches)))
     monkeypatch.setattr(substrings, "FLUSH", 10**9)
@@ -84,9 +84,10 @@ def test_flushes_and_buckets_do_not_show(spark, monkeypatch):
         found = set()
         for b in set(table["bucket"].to_pylist()):
             rows = table.filter(pa.compute.equal(table["bucket"], b)).to_batches()
-            for batch in substrings._nominate((pa.scalar(b),), iter(rows)):
-                for doc, spots in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    found |= {(doc, s) for s in np.frombuffer(spots, "<u4").tolist()}
+            for sent_on in substrings._nominate(3)((pa.scalar(b),), iter(rows)):
+                for batch in substrings._nominated(iter([sent_on])):
+                    for doc, spots in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                        found |= {(doc, s) for s in np.frombuffer(spots, "<u4").tolist()}
         nominated.append(found)
     assert nominated[0] == nominated[1] and nominated[0]
 
