@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm import encoding, near_duplicates, packing, pages, quality, sharding, substrings, toxicity
+from tallyline.llm import encoding, near_duplicates, neighbours, packing, pages, quality, sharding, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -86,6 +86,11 @@ select s.doc_id, len(s.s) as n_shingles, r.component_id, s.doc_id = r.component_
 from s join roots r on s.doc_id = r.doc_id"""
 
 
+@query
+def op7_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 @query
 def op8_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encoding.round_trip_digests(F.col("text"), public_tokenizers.path("word_bpe_49k.json"))
