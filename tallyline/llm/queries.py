@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm import encoding, near_duplicates, neighbours, packing, pages, quality, sharding, substrings, toxicity
+from tallyline.llm import encoding, language_model, near_duplicates, neighbours, packing, pages, quality, sharding, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,6 +63,11 @@ select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_re
 from documents d left join agg on d.doc_id = agg.doc_id"""
 
 
+@query
+def op5_gated_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scored(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
