@@ -145,7 +145,7 @@ def with_flags(fact: DataFrame, m: Metric) -> DataFrame:
     """The fact with the metric's flags, never NULL. One projection per flag; Catalyst collapses them."""
     out = fact.select("*", *[F.lit(v).alias(k) for k, v in m.params.items()])
     for name, text in m.flags.items():
-        out = out.select("*", F.coalesce(F.expr(text), F.lit(False)).alias(name))
+        out = out.select("*", F.coalesce(F.expr(safe_division(text)), F.lit(False)).alias(name))
     return out.drop(*m.params)
 
 
@@ -168,11 +168,24 @@ def row_view(fact: DataFrame, m: Metric) -> DataFrame:
     return with_flags(fact, m).select(*m.key, F.col(m.period).alias("metric_date"), *m.dimensions, *extra, *m.flags)
 
 
-def _ratio_safe(text: str) -> Column:
-    if " / " in text:
-        top, bottom = text.split(" / ")
-        return F.try_divide(F.expr(top).cast("double"), F.expr(bottom).cast("double"))
-    return F.expr(text)
+def safe_division(text: str) -> str:
+    """An expression whose every divisor is a double that is NULL instead of 0, at any depth, so x / 0 is NULL."""
+    out, at = [], 0
+    while (slash := text.find("/", at)) >= 0:
+        start = slash + 1 + len(text[slash + 1:]) - len(text[slash + 1:].lstrip())
+        end = start
+        while end < len(text) and (text[end].isalnum() or text[end] in "_.`"):
+            end += 1
+        if end < len(text) and text[end] == "(":
+            depth = 0
+            for end in range(end, len(text)):
+                depth += (text[end] == "(") - (text[end] == ")")
+                if not depth:
+                    break
+            end += 1
+        out.append(f"{text[at:slash]}/ nullif(cast({safe_division(text[start:end])} as double), 0e0)")
+        at = end
+    return "".join(out) + text[at:]
 
 
 def aggregate(fact: DataFrame, m: Metric, group_by: Sequence[str]) -> DataFrame:
@@ -187,7 +200,7 @@ def aggregate(fact: DataFrame, m: Metric, group_by: Sequence[str]) -> DataFrame:
     numeric = [F.col(f).cast("int").alias(f) for f in m.flags]
     keep = [c for c in flagged.columns if c not in m.flags]
     return (flagged.select(*keep, *numeric).groupBy(*groups)
-            .agg(*[_ratio_safe(t).alias(n) for n, t in m.aggregations.items()]))
+            .agg(*[F.expr(safe_division(t)).alias(n) for n, t in m.aggregations.items()]))
 
 
 def consumer(fact: DataFrame, name: str) -> DataFrame:

@@ -150,9 +150,8 @@ def legacy_gap(spark: SparkSession, d: str) -> DataFrame:
     from both_pairs where metric = 'otif' group by 1""")
 def period_grid(spark: SparkSession, d: str) -> DataFrame:
     rows = rc.compare_consumers(clean_lines(spark, d)).where("metric = 'otif'")
-    plants = ["PLT-01", "PLT-02", "PLT-03"]  # the declared plants; naming them saves the pivot a pass for its values
-    grid = rows.groupBy("period").pivot("grain_key", [f"plant={p}" for p in plants]).agg(F.avg("legacy_delta"))
-    return grid.select("period", *[F.round(F.col(f"`plant={p}`"), 6).alias(p) for p in plants])
+    grid = rows.groupBy("period").pivot("grain_key").agg(F.avg("legacy_delta"))  # every plant there is
+    return grid.select("period", *[F.round(F.col(f"`{c}`"), 6).alias(c.removeprefix("plant=")) for c in grid.columns[1:]])
 
 
 # ---- the two exports and what explains them ------------------------------------------------------------------

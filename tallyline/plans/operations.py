@@ -96,9 +96,8 @@ def model_usage(spark: SparkSession, d: str) -> DataFrame:
 @query("a35_batch_status_pivot", ["bts"], """select source, cast(count(*) filter (where status = 'validated') as bigint) as
     validated, cast(count(*) filter (where status = 'blocked') as bigint) as blocked from bts group by 1""")
 def status_pivot(spark: SparkSession, d: str) -> DataFrame:
-    states = ["validated", "blocked"]  # declared, so the pivot needs no pass to find them
-    out = dt.batches(spark, d).groupBy("source").pivot("status", states).agg(F.count(F.lit(1)))
-    return out.na.fill(0, states)
+    out = dt.batches(spark, d).groupBy("source").pivot("status").agg(F.count(F.lit(1)))  # every state there is
+    return out.na.fill(0)
 
 
 @query("a36_batch_results", ["bts", "ol", "queue"], """select b.batch_id, cast(coalesce(o.n, 0) as bigint) as silver_rows,
@@ -420,6 +419,7 @@ def reconciliation_score(spark: SparkSession, d: str) -> DataFrame:
 
     truth = feeds.gap_truth(clean_lines(spark, d)).select(
         F.col("month").alias("period"), F.col("tool2_gap").alias("true_gap"), "weight_basis", "date_basis", "case_tolerance")
-    error = F.greatest(*[F.abs(F.try_element_at("contributions", F.lit(c)) - F.col(c))
+    # greatest() skips NULL, so a missing contribution is made infinitely wrong first
+    error = F.greatest(*[F.coalesce(F.abs(F.try_element_at("contributions", F.lit(c)) - F.col(c)), F.lit(float("inf")))
                          for c in ("weight_basis", "date_basis", "case_tolerance")])
     return ev.reconciliation_score(attributed_monthly(spark, d), truth, error)

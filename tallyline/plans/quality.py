@@ -36,7 +36,8 @@ QUEUE_EXPRS = [
 
 
 def queue(spark: SparkSession, d: str) -> DataFrame:
-    return found(spark, d).drop("details").selectExpr("*", *QUEUE_EXPRS)
+    """The exceptions with their workflow state. What all rules found is a stored table, as the queue is in operation."""
+    return dt.stored(spark, d, "exceptions", lambda: found(spark, d).drop("details")).selectExpr("*", *QUEUE_EXPRS)
 
 
 def details_text(column: str = "details"):

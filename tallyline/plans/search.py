@@ -36,10 +36,13 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
 
 def vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Chunks and questions with hashing vectors; stored, because every vector query reads them."""
+    zero = F.array_repeat(F.lit(0.0), rt.DIMENSIONS)  # a text without a word is kept, at the origin
     c = dt.stored(spark, d, "chunk_vectors", lambda: chunks(spark, d).drop("doc_type").join(
-        rt.hashing_vectors(chunks(spark, d), "chunk_id", "text"), "chunk_id"))
+        rt.hashing_vectors(chunks(spark, d), "chunk_id", "text"), "chunk_id", "left").withColumn(
+        "vector", F.coalesce("vector", zero)))
     q = dt.stored(spark, d, "question_vectors", lambda: questions(spark, d).join(
-        rt.hashing_vectors(questions(spark, d), "query_id", "query"), "query_id"))
+        rt.hashing_vectors(questions(spark, d), "query_id", "query"), "query_id", "left").withColumn(
+        "vector", F.coalesce("vector", zero)))
     return c, q
 
 
@@ -79,10 +82,10 @@ def _hash_sql(src: str, key: str, text: str) -> str:
 
 cte("cvec", ["chs"], _hash_sql("chs", "chunk_id", "text"))
 cte("qvec", ["qs"], _hash_sql("qs", "query_id", "query"))
-cte("sims", ["chs", "qs", "cvec", "qvec"], """select q.*, c.chunk_id, c.access_level, c.plant, c.status, round(coalesce(
-    list_cosine_similarity(cast(cv.v as double[]), cast(qv.v as double[])), 0), 9) + 0 as score from qs q join qvec qv using
-    (query_id) cross join chs c join cvec cv on cv.chunk_id = c.chunk_id where len(list_filter(qv.v, lambda z: z <> 0)) > 0
-    and len(list_filter(cv.v, lambda z: z <> 0)) > 0""")
+cte("sims", ["chs", "qs", "cvec", "qvec"], """select q.*, c.chunk_id, c.access_level, c.plant, c.status, case when
+    len(list_filter(qv.v, lambda z: z <> 0)) > 0 and len(list_filter(cv.v, lambda z: z <> 0)) > 0 then round(coalesce(
+    list_cosine_similarity(cast(cv.v as double[]), cast(qv.v as double[])), 0), 9) + 0 else 0 end as score from qs q join
+    qvec qv using (query_id) cross join chs c join cvec cv on cv.chunk_id = c.chunk_id""")
 _RANK = "row_number() over (partition by query_id order by score desc, chunk_id)"
 cte("vrank", ["sims"], f"select query_id, chunk_id, score, {_RANK} as rank from sims where {_VIS}")
 cte("brank", ["bm"], f"select *, {_RANK} as rank from bm")
@@ -338,9 +341,10 @@ _LAB = """select b.query_id, qs.role as challenge, bool_or(l.quality = 1) as doc
     as toxic from labels group by 1) l using (doc_id) where rank <= 6 group by 1, 2"""
 
 
-@query("e06_retrieval_recall", ["brank", "qs", "chs"], f"""select challenge, 'bm25' as mode, cast(count(*) as bigint) as
-    questions, cast(count(*) filter (where doc_hit) as bigint) as doc_hits, cast(sum(forbidden) as bigint) as
-    forbidden_retrieved, cast(count(*) filter (where exposure) as bigint) as exposures from ({_LAB}) x group by 1""")
+@query("e06_retrieval_recall", ["brank", "qs", "chs"], f"""select q.role as challenge, 'bm25' as mode, cast(count(*) as bigint) as
+    questions, cast(count(*) filter (where doc_hit) as bigint) as doc_hits, cast(coalesce(sum(forbidden), 0) as bigint) as
+    forbidden_retrieved, cast(count(*) filter (where exposure) as bigint) as exposures from qs q left join ({_LAB}) x
+    using (query_id) group by 1""")
 def retrieval_recall(spark: SparkSession, d: str) -> DataFrame:
     """Quality labels stand for expected documents, toxic labels for forbidden ones."""
     from tallyline.operators.evaluate import retrieval_score

@@ -48,7 +48,7 @@ _UNIT = "case when kg_fault then 2.2046226218e0 else 1e0 end"
 LEVELS: list[list[str]] = [
     [
         "cast(1 + l_suppkey % 3 as string) as site",
-        f"concat('SO', lpad(cast(l_orderkey as string), 12, '0')) as order_no",
+        f"concat('SO', {_pad('l_orderkey', 12)}) as order_no",
         "l_linenumber as line_no",
         "case when l_orderkey % 97 = 0 then null "
         "when l_orderkey % 89 = 0 then concat('C', cast(900000000000 + o_custkey as string)) "
@@ -59,8 +59,8 @@ LEVELS: list[list[str]] = [
         "cast(10 + p_size as double) as lb_per_case",
         "case when p_size % 10 = 0 then 'LB' else 'CASE' end as master_uom",
         "substr(cast(cast(o_orderdate as date) as string), 1, 4) as order_year",
-        "concat(lpad(cast(l_orderkey as string), 12, '0'), cast(l_linenumber as string), "
-        "lpad(cast(l_partkey as string), 11, '0'), lpad(cast(l_suppkey as string), 9, '0'), "
+        f"concat({_pad('l_orderkey', 12)}, cast(l_linenumber as string), "
+        f"{_pad('l_partkey', 11)}, {_pad('l_suppkey', 9)}, "
         "cast(cast(l_shipdate as date) as string)) as source_row",
         "case when (l_orderkey + l_partkey) % 401 = 0 then 0e0 else l_quantity end as ordered_qty",
         "cast(case when l_returnflag = 'R' then floor(l_quantity * (1 - l_discount)) else l_quantity end as double)"
@@ -195,7 +195,12 @@ def order_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def silver(spark: SparkSession, d: str) -> DataFrame:
-    """Order lines as the rules read them: typed columns, parse_errors and the columns the mapping supplies."""
+    """Order lines as the rules read them: typed columns, parse_errors and the columns the mapping supplies. A stored
+    table, as in the pipeline: what reads it does not join its sources again."""
+    return stored(spark, d, "silver", lambda: _silver(spark, d))
+
+
+def _silver(spark: SparkSession, d: str) -> DataFrame:
     from tallyline.schema import COLUMNS
 
     no_lot = [c for c in COLUMNS if c != "lot_no"]
@@ -241,7 +246,11 @@ BATCH_EXPRS = [
 
 
 def batches(spark: SparkSession, d: str) -> DataFrame:
-    """One row per extract (source and order year) with its state, as the batch log holds it."""
+    """One row per extract (source and order year) with its state, as the batch log holds it; a stored table."""
+    return stored(spark, d, "batches", lambda: _batches(spark, d))
+
+
+def _batches(spark: SparkSession, d: str) -> DataFrame:
     counted = (_joined(spark, d).groupBy("batch_id", "source", "order_year")
                .agg(F.count(F.lit(1)).alias("row_count")))
     return counted.selectExpr(*BATCH_EXPRS)

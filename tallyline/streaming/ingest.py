@@ -1,7 +1,8 @@
 """Structured Streaming: each file once, later batches win, previous shapes, and daily counts.
 
-State lives in tables the batch jobs share, written per micro-batch; a lost checkpoint only costs a re-read,
-because every write first removes what is already there.
+State lives in tables the batch jobs share, written per micro-batch and found again by whatever run comes next: after a
+restart a run goes on from the newest committed version. Every handler gives the same state when it is given rows it has
+already seen, so a repeated micro-batch or a lost checkpoint only costs a re-read.
 """
 
 from __future__ import annotations
@@ -17,20 +18,30 @@ from tallyline.sources.files import NEVER
 
 
 class Versions:
-    """A table rewritten as a whole: every version is a new folder, readers use the newest complete one."""
+    """A table rewritten as a whole: every version is a new folder, readers use the newest committed one.
+
+    A version counts once its number is in the log below the root, which is written last; a folder without it is what a
+    lost run left and is written over.
+    """
 
     def __init__(self, spark: SparkSession, root: str, schema: str) -> None:
-        self.spark, self.root, self.schema, self.current = spark, root, schema, None
+        self.spark, self.root, self.schema, self.log = spark, root, schema, f"{root}/log"
+        spark.createDataFrame([], "version bigint").write.mode("append").parquet(self.log)
+
+    def newest(self) -> int | None:
+        return self.spark.read.schema("version bigint").parquet(self.log).agg(F.max("version")).first()[0]
 
     def read(self) -> DataFrame:
-        if self.current is None:
+        newest = self.newest()
+        if newest is None:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self.current)
+        return self.spark.read.schema(self.schema).parquet(f"{self.root}/v-{newest}")
 
-    def replace(self, df: DataFrame, version: str) -> None:
-        path = f"{self.root}/v-{version}"
-        df.write.mode("overwrite").parquet(path)
-        self.current = path
+    def replace(self, df: DataFrame) -> None:
+        newest = self.newest()
+        version = 0 if newest is None else newest + 1
+        df.write.mode("overwrite").parquet(f"{self.root}/v-{version}")
+        self.spark.range(version, version + 1).toDF("version").coalesce(1).write.mode("append").parquet(self.log)
 
 
 def run_once(stream: DataFrame, handle, checkpoint: str, mode: str = "append") -> None:  # noqa: ANN001
@@ -43,19 +54,31 @@ def extract_stream(spark: SparkSession, path: str, header: Sequence[str]) -> Dat
     """CSV extracts of one header as an all-text stream with their path."""
     schema = T.StructType([T.StructField(h, T.StringType()) for h in header])
     return (spark.readStream.schema(schema).option("header", True).option("nullValue", NEVER)
-            .option("recursiveFileLookup", True).csv(path).select("*", F.col("_metadata.file_path").alias("path")))
+            .option("escape", '"').option("recursiveFileLookup", True).csv(path)
+            .select("*", F.col("_metadata.file_path").alias("path")))
+
+
+def file_identities(spark: SparkSession, path: str) -> DataFrame:
+    """path and identity (name and SHA-256 of the content) of the files below a folder."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).load(path)
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    return files.select("path", F.concat_ws(":", name, F.sha2("content", 256)).alias("identity"))
 
 
 def ingest_extracts(spark: SparkSession, path: str, header: Sequence[str], bronze: str, checkpoint: str) -> None:
-    """Append new files' rows to bronze. Files already in bronze are skipped even without a checkpoint."""
+    """Append new files' rows to bronze. A file is known by its name and content, so one that is in bronze already is
+    skipped without a checkpoint, under another folder, or when it comes twice in one micro-batch."""
+    schema = "path string, identity string, record map<string,string>"
+
     def handle(batch: DataFrame, batch_id: int) -> None:
         pairs = [x for h in header for x in (F.lit(h), F.coalesce(F.col(f"`{h}`"), F.lit("")))]
         rows = batch.select("path", F.create_map(*pairs).alias("record"))
-        known = spark.read.schema("path string, record map<string,string>").option("ignoreMissingFiles", True).parquet(
-            bronze).select("path").distinct()
-        rows.join(known, "path", "left_anti").write.mode("append").parquet(bronze)
+        known = spark.read.schema(schema).option("ignoreMissingFiles", True).parquet(bronze).select("identity").distinct()
+        fresh = (file_identities(spark, path).join(rows.select("path").distinct(), "path", "left_semi")
+                 .groupBy("identity").agg(F.min("path").alias("path")).join(known, "identity", "left_anti"))
+        rows.join(fresh, "path").select("path", "identity", "record").write.mode("append").parquet(bronze)
 
-    spark.createDataFrame([], "path string, record map<string,string>").write.mode("append").parquet(bronze)
+    spark.createDataFrame([], schema).write.mode("append").parquet(bronze)
     run_once(extract_stream(spark, path, header), handle, checkpoint)
 
 
@@ -66,7 +89,7 @@ def latest_by_key(spark: SparkSession, stream: DataFrame, keys: Sequence[str], o
     held = Versions(spark, root, schema)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        held.replace(keep_last(held.read().unionByName(batch), list(keys), list(order)), str(batch_id))
+        held.replace(keep_last(held.read().unionByName(batch), list(keys), list(order)))
 
     run_once(stream, handle, checkpoint)
     return held.read()
@@ -82,10 +105,11 @@ def shape_changes(spark: SparkSession, stream: DataFrame, fingerprint, root: str
     def handle(batch: DataFrame, batch_id: int) -> None:
         past = held.read()
         last = keep_last(past, ["source"], ["arrival"]).select("source", "arrival", "digest").withColumn("_old", F.lit(True))
-        both = last.unionByName(fingerprint(batch).withColumn("_old", F.lit(False)))
+        news = fingerprint(batch).join(past.select("source", "arrival"), ["source", "arrival"], "left_anti")
+        both = last.unionByName(news.withColumn("_old", F.lit(False)))
         order = Window.partitionBy("source").orderBy("arrival")
         fresh = both.withColumn("previous_digest", F.lag("digest").over(order)).where(~F.col("_old")).drop("_old")
-        held.replace(past.unionByName(fresh), str(batch_id))
+        held.replace(past.unionByName(fresh))
 
     run_once(stream, handle, checkpoint)
     return held.read()
@@ -97,5 +121,5 @@ def daily_counts(spark: SparkSession, stream: DataFrame, root: str, checkpoint:
     agg = stream.groupBy(F.window("ts", "1 day"), "event_type").agg(
         F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(
         F.col("window.start").cast("date").cast("string").alias("day"), "event_type", "n", "total")
-    run_once(agg, lambda batch, i: held.replace(batch, str(i)), checkpoint, "complete")
+    run_once(agg, lambda batch, i: held.replace(batch), checkpoint, "complete")
     return held.read()
