@@ -7,9 +7,7 @@ access class (level, plant, status) and added up over the classes a context (rol
 
 from __future__ import annotations
 
-import re
 import sys
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,7 +24,7 @@ RRF_K = 60
 K1, B = 1.5, 0.75
 DIMENSIONS = 64
 SIMILARITY_FLOOR = 0.10
-MAX_QUESTIONS = 20_000  # question vectors held by each task at a time; more are worked off in blocks
+QUESTION_BLOCK, CHUNK_BLOCK = 2048, 4096  # questions and chunks a task multiplies at a time
 # The token pattern, the words left out, and the version mention that opens history.
 TOKEN = r"[a-z0-9]+(?:[.%][0-9]+%?)?"
 VERSION_MENTION = r"(?i)\b(?:version|v)\s*\d+(?:\.\d+)?\b"
@@ -178,84 +176,72 @@ def _similarity(q: pd.DataFrame, pdf: pd.DataFrame) -> np.ndarray:
     return np.round(unit(pdf["vector"]) @ unit(q["vector"]).T, 9) + 0.0
 
 
-def _blocks(questions: DataFrame, columns: list[str]) -> list[pd.DataFrame]:
-    """The questions as blocks a task can hold. A batch of questions is what an asker sent, not a table; larger
-    batches are cut by hash into as many blocks as their size asks for."""
-    n = questions.count()
-    parts = max(1, -(-n // MAX_QUESTIONS))
-    cut = [questions.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) for i in range(parts)]
-    return [c.select(*columns).toPandas() for c in cut]
+def _by_blocks(chunks: DataFrame, questions: DataFrame, work, result: str) -> DataFrame:  # noqa: ANN001
+    """`work` on every block of questions with every block of chunks. Blocks are dealt out by hash and counted in the
+    plan, so a task's memory is set by the block sizes at any number of questions or chunks."""
+    number = lambda df, size, name: df.agg(
+        F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / size)).cast("int").alias(name))
+    sizes = number(questions, QUESTION_BLOCK, "_nq").crossJoin(F.broadcast(number(chunks, CHUNK_BLOCK, "_nc")))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    left = questions.crossJoin(F.broadcast(sizes)).withColumn("_q", one("query_id", "_nq")).withColumn("_c", every("_nc"))
+    again = sizes.select(*(F.col(c).alias(c) for c in sizes.columns))  # columns of its own
+    right = chunks.select("chunk_id", *CLASS, "vector").crossJoin(F.broadcast(again)).withColumn(
+        "_c", one("chunk_id", "_nc")).withColumn("_q", every("_nq"))  # one row of sizes on either side
+    return left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c")).applyInPandas(work, result)
 
 
 def vector_topk(chunks: DataFrame, questions: DataFrame, k: int, filtered: bool = True) -> DataFrame:
     """Exact nearest chunks per question: query_id, chunk_id, score, rank (similarity, then id).
 
-    Chunk partitions are multiplied with a block of questions; each partition sends on its k best per question, so
-    neither all pairs nor a whole question's list ever exists. `chunks` carries vector.
+    A block of chunks sends on its k best per question of a block, so neither all pairs nor a whole question's list ever
+    exists. `chunks` and `questions` carry vector.
     """
-    out = None
-    for q in _blocks(questions, ["query_id", *CONTEXT, "vector"]):
-        shared = questions.sparkSession.sparkContext.broadcast(q)
-
-        def best(parts: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-            q = shared.value
-            for pdf in parts:
-                if not len(pdf) or not len(q):
-                    continue
-                pdf = pdf.sort_values("chunk_id", ignore_index=True)
-                sims = _similarity(q, pdf)
-                if filtered:
-                    sims = np.where(_allowed(q, pdf), sims, -np.inf)
-                order = np.argsort(-sims, axis=0, kind="stable")[:k]
-                score = np.take_along_axis(sims, order, axis=0)
-                keep = np.isfinite(score)
-                rows, cols = np.nonzero(keep)
-                yield pd.DataFrame({"query_id": q["query_id"].to_numpy()[cols],
-                                    "chunk_id": pdf["chunk_id"].to_numpy()[order[rows, cols]],
-                                    "score": score[rows, cols]})
-
-        part = chunks.select("chunk_id", *CLASS, "vector").mapInPandas(best, "query_id string, chunk_id string, score double")
-        out = part if out is None else out.unionByName(part)
+    def best(q: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(pdf):
+            return pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
+        pdf = pdf.sort_values("chunk_id", ignore_index=True)
+        sims = _similarity(q, pdf)
+        if filtered:
+            sims = np.where(_allowed(q, pdf), sims, -np.inf)
+        order = np.argsort(-sims, axis=0, kind="stable")[:k]
+        score = np.take_along_axis(sims, order, axis=0)
+        at, column = np.nonzero(np.isfinite(score))
+        return pd.DataFrame({"query_id": q["query_id"].to_numpy()[column],
+                             "chunk_id": pdf["chunk_id"].to_numpy()[order[at, column]], "score": score[at, column]})
+
+    found = _by_blocks(chunks, questions.select("query_id", *CONTEXT, "vector"), best,
+                       "query_id string, chunk_id string, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def vector_ranks(chunks: DataFrame, questions: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Exact rank of chosen (query_id, chunk_id) pairs in the whole permitted pool.
+    """Exact rank of chosen (query_id, chunk_id) pairs, a bounded number per question, in the whole permitted pool.
 
-    A rank is one plus the number of chunks that beat the pair, counted per partition and added up.
+    A rank is one plus the number of chunks that beat the pair, counted per block of chunks and added up.
     """
     mine = wanted.join(chunks.select("chunk_id", "vector"), "chunk_id").join(
         questions.select("query_id", F.col("vector").alias("_qv")), "query_id")
     dot = F.aggregate(F.zip_with("vector", "_qv", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     length = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
     score = F.round(F.coalesce(F.try_divide(dot, length("vector") * length("_qv")), F.lit(0.0)), 9)
-    pairs = mine.select("query_id", "chunk_id", score.alias("score"))
-    out = None
-    for q in _blocks(questions, ["query_id", *CONTEXT, "vector"]):
-        ids = questions.sparkSession.createDataFrame(q[["query_id"]]) if len(q) else questions.select("query_id").limit(0)
-        block = pairs.join(ids, "query_id", "left_semi").toPandas()  # a bounded number of pairs per question
-        shared = questions.sparkSession.sparkContext.broadcast((q, block))
-
-        def beaten(parts: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-            q, block = shared.value
-            groups = dict(tuple(block.groupby("query_id")))
-            for pdf in parts:
-                if not len(pdf):
-                    continue
-                sims, allowed = _similarity(q, pdf), _allowed(q, pdf)
-                ids = pdf["chunk_id"].to_numpy(dtype=object)
-                for j, query in enumerate(q["query_id"]):
-                    if query not in groups:
-                        continue
-                    g, seen = groups[query], allowed[:, j]
-                    s, names = sims[seen, j], ids[seen]
-                    ahead = [int(((s > c) | ((s == c) & (names < n))).sum()) for c, n in zip(g["score"], g["chunk_id"])]
-                    yield pd.DataFrame({"query_id": query, "chunk_id": g["chunk_id"].to_numpy(), "ahead": ahead})
-
-        part = chunks.select("chunk_id", *CLASS, "vector").mapInPandas(beaten, "query_id string, chunk_id string, ahead long")
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("query_id", "chunk_id").agg((F.sum("ahead") + 1).alias("rank"))
+    asked = mine.groupBy("query_id").agg(F.collect_list("chunk_id").alias("_ids"), F.collect_list(score).alias("_scores"))
+
+    def beaten(q: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(q) and len(pdf):
+            sims, allowed = _similarity(q, pdf), _allowed(q, pdf)
+            names = pdf["chunk_id"].to_numpy(dtype=object)
+            for j, row in enumerate(q.itertuples(index=False)):
+                s, n = sims[allowed[:, j], j], names[allowed[:, j]]
+                for chunk, c in zip(row[q.columns.get_loc("_ids")], row[q.columns.get_loc("_scores")], strict=True):
+                    out.append((row[0], chunk, int(((s > c) | ((s == c) & (n < chunk))).sum())))
+        return pd.DataFrame(out, columns=["query_id", "chunk_id", "ahead"])
+
+    found = _by_blocks(chunks, questions.select("query_id", *CONTEXT, "vector").join(asked, "query_id"), beaten,
+                       "query_id string, chunk_id string, ahead long")
+    return found.groupBy("query_id", "chunk_id").agg((F.sum("ahead") + 1).alias("rank"))
 
 
 # ---- ranking and fusion --------------------------------------------------------------------------------------
