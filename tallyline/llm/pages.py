@@ -24,6 +24,7 @@ from html.parser import HTMLParser
 
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -214,16 +215,23 @@ def extract(pages: DataFrame) -> DataFrame:
     cut = (importance(pages).where((F.col("pages") >= MIN_PAGES) & (F.col("composite") < LOW) & (F.col("blocks") > 0))
            .groupBy("host").agg(F.collect_set("path").alias("cut"))  # as many as a site has kinds of elements
            .select("host", "cut", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
-    dealt = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"),
+
+    @F.arrow_udf("binary")
+    def squeezed(htmls: pa.Array) -> pa.Array:
+        packer = zstandard.ZstdCompressor(level=3)
+        return pa.array([h and packer.compress(h.encode()) for h in htmls.to_pylist()], pa.binary())
+
+    # pages are dealt out by site, so they travel compressed
+    dealt = pages.select("page_id", "url", squeezed("html").alias("page"), host_of(F.col("url")).alias("host"),
                          F.pmod(F.xxhash64("page_id", "html"), F.lit(SALTS)).cast("int").alias("salt"))
 
     @F.arrow_udf("string")
-    def text_of(htmls: pa.Array, cuts: pa.Array) -> pa.Array:
-        return pa.array([main_text(h, set(c or ())) for h, c in zip(htmls.to_pylist(), cuts.to_pylist(), strict=True)],
-                        pa.string())
+    def text_of(packed: pa.Array, cuts: pa.Array) -> pa.Array:
+        return pa.array([main_text(h and zstandard.decompress(h).decode(), set(c or ()))
+                         for h, c in zip(packed.to_pylist(), cuts.to_pylist(), strict=True)], pa.string())
 
     # pages without a host keep their place: they match nothing and need not meet in one task
     homeless = dealt.where("host is null").withColumn("cut", F.lit(None).cast("array<bigint>"))
     housed = dealt.where("host is not null").join(cut, ["host", "salt"], "left").select(*homeless.columns)
-    return housed.unionByName(homeless).select("page_id", "url", text_of("html", "cut").alias("text")).withColumn(
+    return housed.unionByName(homeless).select("page_id", "url", text_of("page", "cut").alias("text")).withColumn(
         "n_chars", F.length("text").cast("long"))
