@@ -93,17 +93,31 @@ def word_counts(texts: DataFrame) -> DataFrame:
         _total, _COUNTS_DDL), "word_counts")
 
 
-def _tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each bucket's words that may be among the HEAD most frequent, and how many it has."""
+def _level(counts: np.ndarray) -> np.ndarray:
+    """Counts on a scale of eight steps an octave."""
+    return np.floor(8 * np.log2(counts)).astype(np.int64)
+
+
+def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many words of a bucket are on each level, and its totals at level -1."""
     for batch in batches:
-        for words, counts, texts, tokens in zip(*(batch.column(c).to_pylist() for c in (
-                "words", "counts", "texts", "tokens")), strict=True):
-            w, c = unpacked(words, "<u8"), unpacked(counts, "<i8")
-            top = np.lexsort((w, -c))[:HEAD]
+        for counts, texts, tokens in zip(*(batch.column(c).to_pylist() for c in ("counts", "texts", "tokens")), strict=True):
+            level, n = np.unique(_level(unpacked(counts, "<i8")), return_counts=True)
+            zero = np.zeros(len(level), np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.append(w[top].view(np.int64), 0)), pa.array(np.append(c[top], 0)),
-                 *(pa.array(np.append(np.zeros(len(top), np.int64), x)) for x in (len(w), texts, tokens))],
-                ["word", "count", "types", "texts", "tokens"])
+                [pa.array(x) for x in (np.append(level, -1), np.append(n, 0), np.append(zero, texts), np.append(zero, tokens))],
+                ["level", "words", "texts", "tokens"])
+
+
+def _tops(lowest: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The words from a level on."""
+        for batch in batches:
+            for words, counts in zip(batch.column("words").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                w, c = unpacked(words, "<u8"), unpacked(counts, "<i8")
+                on = _level(c) >= lowest
+                yield pa.RecordBatch.from_arrays([pa.array(w[on].view(np.int64)), pa.array(c[on])], ["word", "count"])
+    return run
 
 
 class Known:
@@ -139,10 +153,17 @@ class Known:
 
 
 def known_words(counts: DataFrame) -> Known:
-    tops = counts.mapInArrow(_tops, "word bigint, count bigint, types bigint, texts bigint, tokens bigint")
-    sums = tops.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("types", "texts", "tokens")]).first()
-    head = tops.where("count > 0").select("word", "count").orderBy(F.desc("count"), "word").limit(HEAD).toArrow()
-    return Known(head["word"].to_numpy().view(np.uint64), head["count"].to_numpy().astype(np.int64), *sums)
+    """The head and the totals. A histogram of counts says from which level on words can be in the head, so that hardly
+    more words than those leave their buckets."""
+    levels = counts.mapInArrow(_levels, "level bigint, words bigint, texts bigint, tokens bigint").groupBy("level").agg(
+        *[F.sum(c).alias(c) for c in ("words", "texts", "tokens")]).orderBy(F.desc("level")).collect()  # under 512 levels
+    types, texts, tokens = (sum(r[c] for r in levels) for c in ("words", "texts", "tokens"))
+    lowest, seen = 0, 0
+    for r in levels:
+        if seen < HEAD and r["words"]:
+            lowest, seen = r["level"], seen + r["words"]
+    head = counts.mapInArrow(_tops(lowest), "word bigint, count bigint").orderBy(F.desc("count"), "word").limit(HEAD).toArrow()
+    return Known(head["word"].to_numpy().view(np.uint64), head["count"].to_numpy().astype(np.int64), types, texts, tokens)
 
 
 def _symbols(words: Words, hashes: np.ndarray, known: Known) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
