@@ -4,7 +4,7 @@ Each task first runs union-find over the links it holds and passes on a forest.
 large-star and small-star steps: every node hangs its larger neighbours, then its smaller ones, under its smallest
 neighbour, until each component is a star around its smallest node. A step is an aggregate that folds before the shuffle
 and a join back, so a node with very many links is no group in any task; the number of steps grows with the logarithm of
-the longest path. Every second step is written to the shared folder, which cuts the lineage.
+the longest path. Every two steps are written to the shared folder, which cuts the lineage.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tallyline.llm.frames import stored
 
-LINKS_PER_FOREST = 500_000
+LINKS_PER_FOREST = 100_000
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,11 +53,11 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """node and root (its component's smallest node) of every node of links (a, b) that is not itself a root."""
-    below = links.select("a", "b").where("a <> b").mapInArrow(_forest, "a bigint, b bigint").distinct()
+    below = links.select("a", "b").where("a <> b").mapInArrow(_forest, "a bigint, b bigint")
     while True:
         both = below.unionByName(below.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         below = stored(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), name)

@@ -19,9 +19,13 @@ from tallyline.llm.bpe import Encoder, encoder
 from tallyline.llm.words import blocks
 
 
+#: Bytes encoded together: larger than a block of words, so that fragments of one length are merged in larger squares.
+ENCODED_TOGETHER = 2 << 20
+
+
 def encoded_blocks(texts: pa.Array, codec: Encoder) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(ids, ids per row) of consecutive blocks of rows."""
-    for row, end, _, _ in blocks(texts):
+    for row, end, _, _ in blocks(texts, ENCODED_TOGETHER):
         yield codec.encode([t or "" for t in texts.slice(row, end - row).to_pylist()])
 
 

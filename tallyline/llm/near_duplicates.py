@@ -9,9 +9,11 @@ document is done as soon as all its places hold a value below the next rank, aft
 2. Signatures are cut into bands; classes that share a band are candidates. ROWS of a band are chosen so that a pair at
    the wanted similarity shares none with a probability under MISS.
 3. In each band every class is compared with the band's leader, on full sets. Pairs that are already in one component
-   need no comparison. First the smallest class leads, then another, drawn for each band, so that a class which failed
-   one leader meets many others; last, what is still in different components of one band is compared pair by pair.
-   No link is lost to the order of leaders, and a group of copies costs one comparison a member and band, not a square.
+   need no comparison. First the smallest class leads, then a member of the band's largest component, drawn for each
+   band, so that a class which failed one leader meets many more. Classes that still share a band across components form families; in each family the members
+   outside its largest component are compared with all others, block by block, in tasks that hold two blocks of sets and
+   send on confirmed links only. So no link is lost to the choice of leaders,
+   no pairs of a group are written out, and a large group of copies costs a comparison a member and band.
 4. Components follow from the confirmed links.
 
 Defined results: a text without words, or NULL, has an empty set and no links; one with fewer words than a shingle has
@@ -33,6 +35,7 @@ from tallyline.llm.words import LOWER, Hasher, Words, blocks, mix, window_hashes
 
 PLACES = 128
 MISS = 1e-7
+BLOCK, COLUMNS = 256, 8192
 _WORD = Hasher(LOWER, seed=61)
 _ROW = np.uint64(0x9E3779B97F4A7C15)
 
@@ -141,6 +144,61 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "b").join(right, "a").where(100 * common >= percent * union).select("a", "b")
 
 
+def _compare(percent: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The confirmed links between two blocks of sets, across components."""
+        sides = []
+        for t in (left, right):
+            items = t["items"].combine_chunks()
+            sides.append((t["rep"].to_numpy(), t["root"].to_numpy(), items.value_lengths().to_numpy().astype(np.int64),
+                          items.flatten().to_numpy()))
+        (a, root_a, n_a, x), (b, root_b, n_b, y) = sides
+        common = np.intersect1d(x, y)
+        shared = np.zeros((len(a), len(b)), np.float32)
+        for low in range(0, len(common), COLUMNS):
+            part = common[low: low + COLUMNS]
+            cells = []
+            for n, values in ((n_a, x), (n_b, y)):
+                at = np.minimum(np.searchsorted(part, values), len(part) - 1)
+                hit = part[at] == values
+                m = np.zeros((len(n), len(part)), np.float32)
+                m[np.repeat(np.arange(len(n)), n)[hit], at[hit]] = 1
+                cells.append(m)
+            shared += cells[0] @ cells[1].T
+        union = n_a[:, None] + n_b[None, :] - shared
+        i, j = np.nonzero((100 * shared >= percent * union) & (root_a[:, None] != root_b[None, :]))
+        return pa.table({"a": pa.array(a[i], pa.int64()), "b": pa.array(b[j], pa.int64())})
+    return run
+
+
+def _family_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between members (band, rep, root) of bands that hold several components, found block by block."""
+    lead = members.groupBy("band").agg(F.min("rep").alias("b"))
+    family = components(members.join(lead, "band").select(F.col("rep").alias("a"), "b"), "families")
+    each = members.select("rep", "root").distinct().join(family.select(
+        F.col("node").alias("rep"), F.col("root").alias("family")), "rep", "left").withColumn(
+        "family", F.coalesce("family", "rep"))
+    sizes = each.groupBy("family", "root").agg(F.count(F.lit(1)).alias("n"))
+    major = sizes.groupBy("family").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.max("n").alias("n_major"),
+                                        F.sum("n").alias("n_all"))
+    blocks_of = lambda n: F.ceil(n / BLOCK).cast("int")
+    placed = each.join(major, "family").select(
+        "family", "rep", "root", blocks_of(F.col("n_all") - F.col("n_major")).alias("minors"),
+        blocks_of(F.col("n_major")).alias("majors"), (F.col("root") == F.col("major")).alias("is_major"))
+    draw = lambda n: F.pmod(F.xxhash64("rep", F.lit(5)), n).cast("int")
+    placed = stored(placed.withColumn("block", F.when(F.col("is_major"), F.col("minors") + draw(F.col("majors")))
+                                      .otherwise(draw(F.col("minors")))), "family_blocks").join(sets, "rep")
+    # block pairs (i, j) with i among the minor blocks and j not before i
+    left = placed.where(~F.col("is_major")).withColumn("i", F.col("block")).withColumn(
+        "j", F.explode(F.sequence("block", F.col("minors") + F.col("majors") - 1)))
+    right = placed.withColumn("j", F.col("block")).withColumn(
+        "i", F.explode(F.sequence(F.lit(0), F.least("block", F.col("minors") - 1))))
+    key, columns = ["family", "i", "j"], ["rep", "root", "items"]
+    right = right.select(*(F.col(c).alias(c) for c in key + columns))  # columns of its own, though one source
+    return left.select(*key, *columns).groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(
+        _compare(percent), "a bigint, b bigint")
+
+
 def links(documents: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The sketch of every row with its class's representative, and the components of linked representatives."""
     sketches = stored(documents.select(F.col("doc_id").cast("long").alias("doc_id"), sketch(
@@ -153,34 +211,36 @@ def links(documents: DataFrame, size: int, percent: int) -> tuple[DataFrame, Dat
     members = stored(keyed.join(shared.select("band"), "band"), "band_members").select("band", "rep", "n")
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
-    # rows that share a doc_id have a set each; a class is looked up by its own fingerprint
+    # rows that share a doc_id have a set each
     sets = stored(texts.select("doc_id", shingle_set(F.col("text"), size).alias("items")).groupBy("doc_id").agg(
         F.collect_set("items").alias("own")).select(F.col("doc_id").alias("rep"), F.explode("own").alias("items")), "sets")
 
+    def open_bands(found: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+        """Members of the bands that hold several components, and the links that say which."""
+        here, so_far = members.withColumn("root", F.col("rep")), None
+        if found is not None:
+            roots = components(found)
+            so_far = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+            here = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+        mixed = here.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+        return here.join(mixed.select("band"), "band"), so_far
+
     found = None
-    for turn in ("smallest", "drawn", "rest"):
-        roots = None if found is None else components(found)
-        here = members.withColumn("root", F.col("rep")) if roots is None else members.join(
-            roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-        open_ = here.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-        here = here.join(open_.select("band"), "band")
-        if turn == "rest":
-            other = here.select("band", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-            pairs = here.withColumnRenamed("rep", "a").join(other, "band").where("a < b")
-        else:
-            first = F.col("rep") if turn == "smallest" else F.xxhash64("band", "rep")
-            lead = here.groupBy("band").agg(F.min_by(F.struct("rep", "n", "root"), first).alias("l"))
-            other = lead.select("band", F.col("l.rep").alias("a"), F.col("l.n").alias("n"), F.col("l.root").alias("root"))
-            pairs = other.join(here.select("band", F.col("rep").alias("b"), F.col("n").alias("n_b"),
-                                           F.col("root").alias("root_b")), "band")
+    for first in (F.col("rep"), F.xxhash64("band", "rep")):  # the smallest leads, then another of each band
+        here, so_far = open_bands(found)
+        # the leader is of the band's largest component, so only members outside that have to be compared
+        lead = here.groupBy("band", "root").agg(
+            F.count(F.lit(1)).alias("size"), F.min_by(F.struct("rep", "n", "root"), first).alias("l")).groupBy("band").agg(
+            F.max_by("l", F.struct("size", -F.col("root"))).alias("l")).select(
+            "band", F.col("l.rep").alias("a"), F.col("l.n").alias("n_a"), F.col("l.root").alias("root_a"))
         # sets whose sizes differ too much cannot reach the similarity
-        pairs = stored(pairs.where((F.col("root") != F.col("root_b")) & (
-            100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b"))).select("a", "b").distinct(), "pairs")
-        if turn != "smallest" and pairs.isEmpty():
-            break
+        pairs = here.join(lead, "band").where((F.col("root") != F.col("root_a")) & (
+            100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a"))).select("a", F.col("rep").alias("b")).distinct()
         new = stored(_confirmed(pairs, sets, percent), "links")
-        found = new if roots is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new)
-    # rows with one doc_id and different sets tie their classes together
+        found = new if so_far is None else so_far.unionByName(new)
+    here, so_far = open_bands(found)
+    found = so_far.unionByName(_family_links(stored(here.select("band", "rep", "root"), "open_members"), sets, percent))
+    # rows with one doc_id and different sets tie their classes together, and copies belong to their class
     twice = whole.join(classes.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"]).where("doc_id <> rep").select(
         F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     return sketches, components(found.unionByName(twice))
