@@ -5,10 +5,13 @@ importance, the entropy of the child patterns its pages show it with, and a cont
 of the text blocks below it over the host's pages, both as logarithms to the base of the number of pages: what differs
 from page to page counts, what every page repeats does not. Branches whose composite importance is under LOW are cut from
 each page of the host. A host with fewer than MIN_PAGES pages with the element gives no evidence, and there only the
-meaning of tags, roles and class names decides, which is applied on every page.
+meaning of tags, roles and class names decides, which is applied on every page. Equal pages of a host are one page in all
+of this: copies say nothing about what the site repeats. The root, body, main and article are never cut as a whole, and
+a page whose article (or whole text) would be cut to nothing keeps it.
 
-Statistics are sums per (host, path, pattern) and (host, path, block), folded before the shuffle, so one host may hold any
-share of the pages. Cut branches reach the pages by a join salted over SALTS parts of each host. Only pages, never sites,
+What a page shows is sent on in a packed row per distinct html and host, folded in the sending task first; statistics are
+sums per (host, path, pattern) and (host, path, block), folded before the shuffle, so one host may hold any share of the
+pages. Cut branches reach the pages by a join salted over SALTS parts of each host. Only pages, never sites,
 are in a task's memory.
 
 Defined results: NULL or empty html has an empty text; markup that is not closed or not opened is read as a browser would
@@ -22,6 +25,7 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -48,6 +52,7 @@ NOT_MAIN_NAME = re.compile(
     r"share|sharing|social|comments?|comment-?(?:list|section|form)|disqus\w*|replies|respond|related|recommend\w*|widgets?|"
     r"log-?in|sign-?up|search|toolbar|pagination|pager|legal|copyright|skip-?link|outbrain|taboola)(?:$|[-_\s])", re.I)
 KEEP = {"html", "body", "main"}
+NEVER_CUT = KEEP | {"article"}
 
 
 class _Reader(HTMLParser):
@@ -146,20 +151,22 @@ def ancestors(path: str) -> list[str]:
 
 
 def main_text(html: str | None, cut: set[int]) -> str:
-    """The blocks of the article, or of main, or of all, without what is never main text and without cut branches."""
+    """The blocks of the article, or of main, or of all, without what is never main text and without cut branches; with
+    them if nothing would be left."""
     known: dict[str, bool] = {}
 
+    def cuttable(path: str) -> bool:
+        return path.rsplit("/", 1)[1].split(".")[0] not in NEVER_CUT
+
     def low(path: str) -> bool:
         if path not in known:
-            known[path] = bool(cut) and any(path_hash(p) in cut for p in ancestors(path))
+            known[path] = bool(cut) and any(path_hash(p) in cut for p in ancestors(path) if cuttable(p))
         return known[path]
 
-    blocks = [b for b in read(html).blocks if b[1] and not low(b[0])]
-    for inside in (2, 3):
-        if any(b[inside] for b in blocks):
-            blocks = [b for b in blocks if b[inside]]
-            break
-    return "\n".join(b[4] for b in blocks)
+    blocks = [b for b in read(html).blocks if b[1]]
+    choices = [c for c in ([b for b in blocks if b[2]], [b for b in blocks if b[3]]) if c] or [blocks]
+    left = [[b for b in c if not low(b[0])] for c in choices]
+    return "\n".join(b[4] for b in next((c for c in left if c), choices[0]))
 
 
 def host_of(url: Column) -> Column:
@@ -168,24 +175,61 @@ def host_of(url: Column) -> Column:
     return F.when(F.length(host) > 0, host)
 
 
-def _observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, path, kind, value) of a page: that it has the path, a child pattern of it, a block below it."""
+def _packed(page: _Reader) -> bytes:
+    """Paths with their parents, the child patterns of paths and the texts of blocks, each with the place of its path."""
+    paths = sorted({p for p, _ in page.patterns})
+    at = {p: i for i, p in enumerate(["", *paths])}
+    patterns = sorted(page.patterns)
+    blocks = sorted({(at[path], path_hash(text)) for path, _, _, _, text in page.blocks})
+    return b"".join(np.array(x, kind).tobytes() for x, kind in (
+        ([len(paths), len(patterns), len(blocks)], "<u4"), ([at[p.rpartition("/")[0]] for p in paths], "<u4"),
+        ([at[p] for p, _ in patterns], "<u4"), ([i for i, _ in blocks], "<u4"), ([path_hash(p) for p in paths], "<i8"),
+        ([path_hash(v) for _, v in patterns], "<i8"), ([v for _, v in blocks], "<i8")))
+
+
+def _unpacked(packed: bytes) -> set[tuple[int, int, int]]:
+    """(path, kind, value) of a page: that it has the path, a child pattern of it, a block below it."""
+    n, k, m = np.frombuffer(packed, "<u4", 3).tolist()
+    places = np.frombuffer(packed, "<u4", n + k + m, 12).tolist()
+    hashes = np.frombuffer(packed, "<i8", n + k + m, 12 + 4 * (n + k + m)).tolist()
+    parents, paths = [0, *places[:n]], [0, *hashes[:n]]
+    seen = {(p, 0, 0) for p in paths[1:]}
+    seen |= {(paths[i], 1, v) for i, v in zip(places[n: n + k], hashes[n: n + k], strict=True)}
+    for i, value in zip(places[n + k:], hashes[n + k:], strict=True):
+        while i:
+            seen.add((paths[i], 2, value))
+            i = parents[i]
+    return seen
+
+
+def _shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Host, digest and packed content of every page; once for pages that this task has read already."""
+    done: set[tuple[str, bytes]] = set()
     for batch in batches:
         for low in range(0, len(batch), BATCH):
             part = batch.slice(low, BATCH)
-            hosts, paths, kinds, values = [], [], [], []
+            hosts, digests, shown = [], [], []
             for host, html in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
-                page = read(html)
-                seen = {(path_hash(p), 0, 0) for p, _ in page.patterns}
-                seen |= {(path_hash(p), 1, path_hash(s)) for p, s in page.patterns}
-                for path, _, _, _, text in page.blocks:
-                    value = path_hash(text)
-                    seen |= {(path_hash(p), 2, value) for p in ancestors(path)}
+                digest = xxhash.xxh3_128_digest(html)
+                if (host, digest) not in done:
+                    done.add((host, digest))
+                    hosts.append(host)
+                    digests.append(digest)
+                    shown.append(_packed(read(html)))
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.binary()),
+                                              pa.array(shown, pa.binary())], ["host", "digest", "shown"])
+
+
+def _observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for low in range(0, len(batch), BATCH):
+            part = batch.slice(low, BATCH)
+            hosts, rows = [], []
+            for host, shown in zip(part.column("host").to_pylist(), part.column("shown").to_pylist(), strict=True):
+                seen = _unpacked(shown)
                 hosts += [host] * len(seen)
-                for path, kind, value in seen:
-                    paths.append(path)
-                    kinds.append(kind)
-                    values.append(value)
+                rows += seen
+            paths, kinds, values = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.int64()),
                                               pa.array(kinds, pa.int32()), pa.array(values, pa.int64())],
                                              ["host", "path", "kind", "value"])
@@ -193,8 +237,9 @@ def _observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def importance(pages: DataFrame) -> DataFrame:
     """The style tree: host, path, pages, presentation, content and composite importance of every element."""
-    seen = (pages.select(host_of(F.col("url")).alias("host"), "html").where("host is not null and html is not null")
-            .mapInArrow(_observed, "host string, path bigint, kind int, value bigint"))
+    distinct = (pages.select(host_of(F.col("url")).alias("host"), "html").where("host is not null and html is not null")
+                .mapInArrow(_shown, "host string, digest binary, shown binary").dropDuplicates(["host", "digest"]))
+    seen = distinct.select("host", "shown").mapInArrow(_observed, "host string, path bigint, kind int, value bigint")
     counts = seen.groupBy("host", "path", "kind", "value").agg(F.count(F.lit(1)).alias("k"))
     k = F.col("k").cast("double")
     of = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x))

@@ -73,3 +73,31 @@ def test_importance_by_hand(site):
         shown = -sum(k / total * math.log(k / total, n) for k in patterns[p].values())
         content = 1 - sum(math.log(k, n) for k in blocks[p].values()) / len(blocks[p])
         assert (r.pages, r.presentation, r.content) == (n, pytest.approx(min(1, shown), abs=1e-9), pytest.approx(content, abs=1e-9))
+
+
+def test_copies_of_a_page_do_not_cut_its_article(spark):
+    """Hosts of equal pages only, of a large group of copies, and of an article with an element of its own."""
+    wrap = lambda x: f"<html><body><article>{x}</article></body></html>"
+    article = "".join(f"<p>part {i} of a long read</p>" for i in range(100))
+    quoted = "<p>before</p><blockquote><p>only here</p></blockquote><p>after</p>"
+    rows = [(i, "http://same.org/x", "<html><body><div><p>All the same.</p></div></body></html>") for i in range(6)]
+    rows += [(100 + i, "http://mirror.org/x", wrap(article)) for i in range(1000)]
+    rows += [(2000 + i, "http://mirror.org/y", wrap(f"<p>short note {i}</p>")) for i in range(20)]
+    rows += [(3000 + i, "http://quote.org/x", wrap(quoted)) for i in range(8)]
+    rows += [(4000 + i, "http://quote.org/y", wrap(f"<p>other story {i}</p>")) for i in range(20)]
+    got = {r.page_id: r.text for r in pages.extract(
+        spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i] == "All the same." for i in range(6))
+    assert all(got[100 + i] == "\n".join(f"part {j} of a long read" for j in range(100)) for i in range(1000))
+    assert all(got[2000 + i] == f"short note {i}" for i in range(20))
+    assert all(got[3000 + i] == "before\nonly here\nafter" for i in range(8))
+    assert all(got[4000 + i] == f"other story {i}" for i in range(20))
+
+
+def test_cuts_leave_main_text():
+    page = "<html><body><div class=a><p>x</p></div><article><p>y</p></article></body></html>"
+    every = {pages.path_hash(a) for b in pages.read(page).blocks for a in pages.ancestors(b[0])}
+    assert pages.main_text(page, every) == "y"
+    assert pages.main_text(page, {pages.path_hash("/html"), pages.path_hash("/html/body/article")}) == "y"
+    assert pages.main_text("<div><p>all of it</p></div>", {pages.path_hash("/div")}) == "all of it"
