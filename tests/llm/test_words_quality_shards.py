@@ -94,6 +94,46 @@ def test_bands():
     assert quality.compression(b"", packer) == (0.0, 0, 0, True)
 
 
+def test_noise_is_rejected_at_every_length(sf):
+    import base64
+    import random
+    import string
+
+    packer, rng = zstandard.ZstdCompressor(level=3), random.Random(8)
+
+    def base64_lines(n):
+        coded = base64.b64encode(rng.randbytes(n)).decode()
+        return "\n".join(coded[i: i + 76] for i in range(0, n, 76)).encode()[:n]
+
+    def random_words(n):
+        return " ".join("".join(rng.choices(string.ascii_letters + string.digits, k=rng.randint(2, 9)))
+                        for _ in range(n // 2)).encode()[:n]
+
+    import pyarrow.parquet as pq
+    texts = [t.encode() for t in pq.read_table(f"{sf}/documents.parquet")["text"].to_pylist() if t]
+    usual = [t for t in texts if quality.compression(t, packer)[3] and len(t) > 1000]
+    prose = b" ".join(usual[:60])
+    assert len(prose) > 60_000 and len(usual) > 20
+    for n in (300, 512, 700, 1024, 1500, 2048, 2049, 2500, 3071, 4000, 8192, 20_001, 100_000):
+        assert not quality.compression(base64_lines(n), packer)[3], n
+        assert not quality.compression(random_words(n), packer)[3], n
+    for n in (2500, 3000, 4000, 8192, 20_001, 100_000):
+        for share in (0.5, 0.6):
+            noise = base64_lines(int(n * share))
+            mixed = prose[: n - len(noise)] + b"\n" + noise
+            assert not quality.compression(mixed, packer)[3], (n, share)
+
+
+def test_clean_labelled_texts_are_above_the_low_limits(sf):
+    import pyarrow.parquet as pq
+
+    packer = zstandard.ZstdCompressor(level=3)
+    good = {r["doc_id"] for r in pq.read_table(f"{sf}/labels.parquet").to_pylist() if r["quality"] == 1}
+    texts = [r["text"].encode() for r in pq.read_table(f"{sf}/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+             if r["doc_id"] in good and len(r["text"].split()) >= quality.MIN_WORDS]
+    assert len(texts) > 20 and all(len(t) / len(packer.compress(t)) >= quality.limits(len(t))[0] for t in texts)
+
+
 def test_shards_are_contiguous_equal_and_complete(docs):
     got = sharding.shard_by_bytes(docs, 8).collect()
     want = sorted((d is not None, d or 0, zlib.crc32((t or "").encode()), len((t or "").encode()) + 1)
