@@ -3,9 +3,9 @@
 1. Every training token is counted: tasks fold their counts, send them on by ranges of the word's hash, and the table of
    all counts, one row per bucket, is written to the shared folder. It grows with the corpus and stays there.
 2. The network knows the end of a text, a symbol for the tail, and the most frequent other words, up to its SYMBOLS. Its
-   outputs start at the shares of the whole corpus, and it learns from the training texts whose hash falls in TRAIN_SHARE,
-   so what it reads grows with the input. Each scan task trains on its own texts; the results are averaged by tokens, in
-   AVERAGED groups first, so that the driver only ever gets that many sets of weights (under a megabyte each). TURNS times.
+   outputs start at the shares of the whole corpus, and it learns from every training text. Each scan task trains on its
+   own texts; the results are averaged by tokens, in AVERAGED groups first, so that the driver only ever gets that many
+   sets of weights (under a megabyte each). TURNS times.
 3. All texts are scored whole, with the state carried through. A tail word costs the tail symbol and its share of the
    tail's counts, smoothed as the base score is: so score and base score give every text a probability over the same words.
    Counts of the HEAD most frequent words travel with the code (at most 12 bytes each); the other words of a text are sent
@@ -33,7 +33,7 @@ from tallyline.llm.words import LOWER, Hasher, Words, blocks
 
 SMOOTH = 0.1
 HEAD = 65_536
-TRAIN_SHARE, TURNS, RATE, AVERAGED = 1 / 8, 2, 0.01, 8
+TRAIN_SHARE, TURNS, RATE, AVERAGED = 1.0, 1, 0.01, 8
 COUNT_FLUSH, TAIL_FLUSH, TEXT_BLOCK = 1_500_000, 1_000_000, 4 << 20
 _WORD = Hasher(LOWER, seed=51)
 _LOG10 = np.log(10)

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +104,26 @@ def test_without_training_texts(spark):
     got = lm.scored(df).collect()
     assert len(got) == df.count() and {(r.n_known, r.train_tokens, r.base_score, r.score) for r in got} == {(0, 0, 0.0, 0.0)}
     assert lm.scored(df.limit(0)).count() == 0
+
+
+def test_every_training_text_trains(spark, monkeypatch):
+    """Each training text reaches a weight: here text i marks weight i."""
+    def marks(known, weights, turn):
+        def run(batches):
+            for batch in batches:
+                for text in batch.column("text").to_pylist():
+                    mark = np.zeros(len(weights), "<f4")
+                    mark[int(text)] = 1
+                    yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([1.0]), pa.array(
+                        [mark.tobytes()], pa.binary())], ["group", "tokens", "weights"])
+        return run
+
+    monkeypatch.setattr(lm, "_train", marks)
+    texts = spark.createDataFrame([(i, str(i)) for i in range(60)], "doc_id long, text string")
+    known = lm.Known(np.arange(60, dtype=np.uint64), np.ones(60, np.int64), 60, 60, 60)
+    assert np.flatnonzero(lm.trained(texts, known)).tolist() == list(range(60))
+
+
+def test_gain_as_it_is_run(docs):
+    got = [r for r in lm.scored(docs[1]).collect() if r.held_out and r.doc_id < 5000]
+    assert sum(r.score for r in got) > sum(r.base_score for r in got)
