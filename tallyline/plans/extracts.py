@@ -190,14 +190,21 @@ def events_stream(spark: SparkSession, d: str) -> DataFrame:
 @query("x01_each_file_once", ["raw"], """select batch_id, cast(count(*) as bigint) as rows from raw where source = 'plt03'
     group by 1""")
 def each_file_once(spark: SparkSession, d: str) -> DataFrame:
-    """One plant's extracts streamed into bronze twice, the second time with a lost checkpoint."""
-    label, header = labels()[-1]
+    """The batches of one plant, out of all extracts streamed into one bronze."""
+    return all_files_once(spark, d).where(F.col("batch_id").startswith("plt03:"))
+
+
+@query("x07_all_files_once", ["raw"], "select batch_id, cast(count(*) as bigint) as rows from raw group by 1")
+def all_files_once(spark: SparkSession, d: str) -> DataFrame:
+    """Every header's extracts streamed into one bronze twice, the second time with a lost checkpoint."""
     bronze = fresh_path(spark, "stream-bronze")
     for run in ("first", "checkpoint-lost"):
-        st.ingest_extracts(spark, f"{extract_root(spark, d)}/{label}", header, bronze, fresh_path(spark, f"cp-{run}"))
-    rows = spark.read.parquet(bronze)
-    return rows.groupBy(F.concat(F.lit("plt03:"), F.regexp_extract("path", "order_year=([^/]+)", 1)).alias(
-        "batch_id")).agg(F.count(F.lit(1)).alias("rows"))
+        for label, header in labels():
+            st.ingest_extracts(spark, f"{extract_root(spark, d)}/{label}", header, bronze, fresh_path(
+                spark, f"cp-{run}-{label}"))
+    part = lambda name: F.regexp_extract("path", f"{name}=([^/]+)", 1)
+    return spark.read.parquet(bronze).groupBy(F.concat_ws(":", part("source"), part("order_year")).alias("batch_id")).agg(
+        F.count(F.lit(1)).alias("rows"))
 
 
 @query("x02_late_is_flagged", [], """select event_type, cast(count(*) as bigint) as accepted, cast(count(*) filter (where epoch(

@@ -406,6 +406,23 @@ _transform_query("c07_normalize_customer_no", "plt03", "r_customer_no", "custome
 _transform_query("c08_line_number", "plt01", "r_line_no", "line_no", [], "try_cast(r_line_no as integer)", "int")
 
 
+def _transform_all_query(name: str, raw: str, canonical: str, steps: list[str], sql_value: str, out_cast: str) -> None:
+    """A transform that no plant has of its own, over the lines of all plants."""
+    duck = {"string": "varchar", "int": "integer"}[out_cast]
+
+    @query(name, ["raw"], f"""select batch_id, source_row, {raw} as raw_text, cast(val as {duck}) as value,
+        (val is null and trim({raw}) <> '') as bad from (select *, case when trim({raw}) <> '' then {sql_value} end as
+        val from raw) x""")
+    def transform(spark: SparkSession, d: str) -> DataFrame:
+        value = tf.typed(F.col(raw), canonical, steps)
+        return dt.raw_lines(spark, d).select("batch_id", "source_row", F.col(raw).alias("raw_text"), value.cast(
+            out_cast).alias("value"), tf.parse_error(F.col(raw), value).isNotNull().alias("bad"))
+
+
+_transform_all_query("c10_trim_all", "r_item_no", "item_no", ["trim"], "trim(r_item_no)", "string")
+_transform_all_query("c11_line_number_all", "r_line_no", "line_no", [], "try_cast(r_line_no as integer)", "int")
+
+
 @query("c09_blank_or_error", ["raw"], """
     select source, cast(count(*) filter (where trim(r_issue_date) = '') as bigint) as blank_issue,
       cast(count(*) filter (where r_issue_date like '31/31%') as bigint) as bad_issue,
