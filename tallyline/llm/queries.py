@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm import encoding, language_model, near_duplicates, neighbours, packing, pages, quality, sharding, substrings, toxicity
+from tallyline.llm import (encoding, language_model, near_duplicates, neighbours, packing, pages, quality, repetitions,
+                           sharding, substrings, toxicity, whitening)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -112,3 +113,13 @@ def op10_prefix_sum_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), shards=8)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op12_recompression_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetitions.digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_householder_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("bigint"))
