@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tallyline.session import fresh_path
 
@@ -20,3 +21,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+HOT_KEYS = 1000
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str, total: int, n: str = "n") -> DataFrame:
+    """The inner join of rows with a table that has each key once and says in `n` how many of the `total` rows have it.
+
+    Keys of more than one row in HOT_KEYS, of which there are fewer than HOT_KEYS, are broadcast, so the rows of a
+    frequent key stay in the tasks they are in.
+    """
+    hot = F.broadcast(table.where(F.col(n) * HOT_KEYS > total))  # fewer than HOT_KEYS rows, as the shares add up to one
+    rest = rows.join(hot.select(key), key, "left_anti").join(table.where(F.col(n) * HOT_KEYS <= total), key)
+    return rows.join(hot, key).unionByName(rest)

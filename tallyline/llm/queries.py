@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm import (encoding, language_model, near_duplicates, neighbours, packing, pages, quality, repetitions,
-                           sharding, substrings, toxicity, whitening)
+from tallyline.llm import (encoding, language_model, multi_index, near_duplicates, neighbours, packing, pages, quality,
+                           repetitions, sharding, substrings, toxicity, whitening)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -115,6 +115,26 @@ def op10_prefix_sum_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op11_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
+ORACLES["op11_inverted_multi_index"] = """with recursive v as materialized (
+  select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings),
+fit as materialized (select * from v where label is not null and v is not null and len(v) > 0
+  and len(list_filter(v, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0),
+edges as materialized (select a.vec_id as a, b.vec_id as b from fit a join fit b
+  on a.label = b.label and a.vec_id < b.vec_id and len(a.v) = len(b.v)
+  and list_cosine_similarity(a.v, b.v) >= 0.93),
+sides as materialized (select a, b from edges union all select b, a from edges),
+reach(a, b) as (select vec_id, vec_id from embeddings union select r.a, s.b from reach r join sides s on r.b = s.a),
+roots as (select a as vec_id, min(b) as component_id from reach group by a),
+degree as (select a as vec_id, count(*) as n from sides group by a)
+select e.vec_id, coalesce(d.n, 0) as n_links, r.component_id, e.vec_id = r.component_id as kept
+from embeddings e join roots r on e.vec_id = r.vec_id left join degree d on e.vec_id = d.vec_id"""
+
+
 @query
 def op12_recompression_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetitions.digests(table(spark, sf_dir, "documents"))
