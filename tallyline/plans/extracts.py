@@ -2,53 +2,74 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.functions.joins import insert_if_absent
 from tallyline.operators import ingest
 from tallyline.plans.common import clean_lines
 from tallyline.plans.registry import query
 from tallyline.session import fresh_path
 from tallyline.sources import driver_tables as dt
-from tallyline.sources import files, knowledge
+from tallyline.sources import extract_source, files, knowledge
 from tallyline.streaming import ingest as st
 
-_written: dict[tuple[str, str], str] = {}
+_written: dict[tuple[str, str, str], str] = {}
+FILE_ROWS = 1_000_000  # an extract of more rows is sent in several files
 
 
-def extract_root(spark: SparkSession, d: str) -> str:
-    """The raw extracts as CSV, one folder per header, written once per session."""
-    key = (spark.sparkContext.applicationId, d)
+def as_files(spark: SparkSession, d: str, rows: DataFrame, name: str) -> DataFrame:
+    """Bronze rows as the lines of extract files: source, file_name, header and values, file by file in line order."""
+    parts = dt.batches(spark, d).select("batch_id", F.ceil(F.col("row_count") / FILE_ROWS).alias("_parts"))
+    part = F.pmod(F.xxhash64("source_row"), F.col("_parts")) + 1
+    lines = rows.join(parts, "batch_id").select(
+        "source", F.format_string(f"%s_orderlines_%s-%02d{name}.csv", "source", "order_year", part).alias("file_name"),
+        F.map_keys("record").alias("header"), F.map_values("record").alias("values"), "source_row")
+    return lines.repartition("source", "file_name").sortWithinPartitions("source", "file_name", "source_row").drop("source_row")
+
+
+def _root(spark: SparkSession, d: str, name: str, rows: Callable[[], DataFrame]) -> str:
+    key = (spark.sparkContext.applicationId, d, name)
     if key not in _written:
-        root, b = fresh_path(spark, "extracts"), dt.bronze(spark, d)
-        for source, lo, hi, header in dt.HEADERS:
-            label = f"{source}-{'a' if lo == '0000' else 'b'}"
-            (b.where(F.col("header_hash") == label)
-             .select("source", "order_year", *[F.element_at("record", h).alias(h) for h in header])
-             .write.partitionBy("source", "order_year").option("header", True).option("ignoreTrailingWhiteSpace", False)
-             .option("ignoreLeadingWhiteSpace", False).csv(f"{root}/{label}"))
+        root = fresh_path(spark, name)
+        extract_source.write(rows(), root)
         _written[key] = root
     return _written[key]
 
 
-def labels() -> list[tuple[str, list[str]]]:
-    return [(f"{s}-{'a' if lo == '0000' else 'b'}", h) for s, lo, _, h in dt.HEADERS]
+def extract_root(spark: SparkSession, d: str) -> str:
+    """The raw extracts as one folder per source, each file with its own header; written once per session."""
+    return _root(spark, d, "extracts", lambda: as_files(spark, d, dt.bronze(spark, d), ""))
+
+
+def resent_root(spark: SparkSession, d: str) -> str:
+    """What plt03 sent again under the same names, with the columns in another order."""
+    return _root(spark, d, "resent", lambda: as_files(spark, d, dt.bronze(spark, d).where("source = 'plt03'"), "").withColumns(
+        {"header": F.reverse("header"), "values": F.reverse("values")}))
+
+
+def unreadable_root(spark: SparkSession, d: str) -> str:
+    """The blocked batches as a host computer sends them: in EBCDIC."""
+    lost = dt.batches(spark, d).where("status = 'blocked'").select("batch_id")
+    return _root(spark, d, "unreadable", lambda: as_files(spark, d, dt.bronze(spark, d).join(
+        lost, "batch_id", "left_semi"), "-host").withColumn("encoding", F.lit("cp500")))
 
 
 def bronze_from_files(spark: SparkSession, d: str) -> DataFrame:
-    out = None
-    for label, header in labels():
-        part = files.to_records(files.number_rows(files.read_text(spark, f"{extract_root(spark, d)}/{label}")), header)
-        out = part if out is None else out.unionByName(part)
-    return out.withColumn("batch_id", F.concat_ws(":", F.regexp_extract("path", "source=([^/]+)", 1),
-                                                  F.regexp_extract("path", "order_year=([^/]+)", 1)))
+    return files.read_extracts(spark, extract_root(spark, d)).withColumn("batch_id", F.concat_ws(
+        ":", "source", files.extract_of(F.col("file_name"))))
 
 
-@query("s01_discover_sources", ["bts"], "select source, cast(count(*) as bigint) as extracts from bts group by 1")
+@query("s01_discover_sources", ["bts"], """select source, cast(count(*) as bigint) as extracts, cast(count(*) filter (where source =
+    'plt03') as bigint) as from_first_root from bts group by 1""")
 def discover(spark: SparkSession, d: str) -> DataFrame:
-    root = extract_root(spark, d)
-    return files.discover(spark, [root, root]).groupBy("source").agg(F.count_distinct("extract").alias("extracts"))
+    """Extracts below three roots; the first holds one source again, under names the second has too."""
+    first = resent_root(spark, d)
+    found = files.discover(spark, [first, extract_root(spark, d), f"{first}-not-there"])
+    return found.groupBy("source").agg(F.count_distinct("extract").alias("extracts"), F.count_distinct(
+        F.when(F.contains("path", F.lit(first)), F.col("extract"))).alias("from_first_root"))
 
 
 @query("s02_read_all_text", ["cells"], """select source, col as column_name, cast(count(*) as bigint) as cells, cast(count(*)
@@ -71,15 +92,20 @@ def bronze_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("s04_batch_identity", ["bts"], """select 'first' as run, cast(count(*) as bigint) as batches from bts union all
-    select 'replay', cast(0 as bigint)""")
+    select 'replay', cast(count(*) filter (where source is null) as bigint) from bts union all
+    select 'resent', cast(count(*) filter (where source = 'plt03') as bigint) from bts""")
 def batch_identity(spark: SparkSession, d: str) -> DataFrame:
-    found = files.with_identity(spark, extract_root(spark, d))
-    empty = found.where("false")
-    first = files.new_batches(empty, found)
-    replay = files.new_batches(first, found)
-    count = F.count_distinct("source", "extract").alias("batches")
-    return first.agg(count).withColumn("run", F.lit("first")).unionByName(replay.agg(count).withColumn("run", F.lit(
-        "replay")))
+    """New batches of a first run, of a replay of its files, and of files sent again with other content."""
+    log, out = fresh_path(spark, "identities"), None
+    spark.createDataFrame([], "idempotency_key string").write.parquet(log)
+    for run, root in (("first", extract_root(spark, d)), ("replay", extract_root(spark, d)), ("resent", resent_root(spark, d))):
+        new = fresh_path(spark, f"new-{run}")
+        files.new_batches(spark.read.parquet(log), files.with_identity(spark, root)).write.parquet(new)
+        found = spark.read.parquet(new)
+        found.select("idempotency_key").write.mode("append").parquet(log)
+        part = found.agg(F.count_distinct("source", "extract").alias("batches")).withColumn("run", F.lit(run))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("s05_stale_flag", ["bts"], """select batch_id, cast(date '1998-01-06' - cast(received_at as date) as bigint) * 24 > 72 as
@@ -89,12 +115,15 @@ def stale_flag(spark: SparkSession, d: str) -> DataFrame:
         F.col("received_at").cast("timestamp"), F.lit("1998-01-06").cast("timestamp")).alias("stale"))
 
 
-@query("s06_failed_batches", ["bts"], """select source, file_name, 'failed' as status, cast(2000 as integer) as error_length from
-    bts where status = 'blocked'""")
+@query("s06_failed_batches", ["bts"], """select source, order_year as extract, 'received' as status, row_count, true as told from bts
+    union all select source, order_year, 'failed', cast(0 as bigint), true from bts where status = 'blocked'""")
 def failed(spark: SparkSession, d: str) -> DataFrame:
-    lost = dt.batches(spark, d).where("status = 'blocked'").select("source", "file_name", F.repeat(
-        F.concat(F.lit("cannot read "), "file_name", F.lit("; ")), 200).alias("error"))
-    return files.failed_batches(lost).select("source", "file_name", "status", F.length("error").alias("error_length"))
+    """The batch log over readable and unreadable files; a failed one says which file and why."""
+    log = files.batch_log(spark, [extract_root(spark, d), unreadable_root(spark, d)])
+    named = F.startswith("error", F.concat(F.lit("cannot read "), "source", F.lit("/"), "file_name", F.lit(": ")))
+    told = F.when(F.col("status") == "failed", named & F.contains("error", F.lit("utf-8"))).otherwise(F.col("error").isNull())
+    return log.groupBy("source", files.extract_of(F.regexp_replace("file_name", "-host", "")).alias("extract"), "status").agg(
+        F.sum("row_count").alias("row_count"), F.every(told).alias("told"))
 
 
 @query("s07_master_scans", ["its", "custs"], """select uom as grp, catch_weight_flag, cast(count(*) as bigint) as n, round(sum(
@@ -163,21 +192,29 @@ def lot_master(spark: SparkSession, d: str) -> DataFrame:
         "expiry_date"))
 
 
-@query("e09_idempotent_replay", ["bts", "raw"], """select 'batches' as what, cast(count(*) as bigint) as before_n, cast(count(*) as
-    bigint) as after_n from bts union all select 'bronze', cast(count(*) as bigint), cast(count(*) as bigint) from raw""")
+@query("e09_idempotent_replay", ["bts", "raw"], """select 'batches' as what, n as before_n, n as after_n from (select cast(count(*)
+    as bigint) as n from bts) b union all select 'bronze', n, n from (select cast(count(*) as bigint) as n from raw) r""")
 def idempotent_replay(spark: SparkSession, d: str) -> DataFrame:
-    """The same extracts three times over: nothing grows."""
-    batches = dt.batches(spark, d).select("batch_id")
-    rows = dt.bronze(spark, d).select("batch_id", "source_row")
-    out = None
-    for name, table, keys in (("batches", batches, ["batch_id"]), ("bronze", rows, ["batch_id", "source_row"])):
-        after = table
-        for _ in range(3):
-            after = insert_if_absent(after, table, keys)
-        part = table.agg(F.count(F.lit(1)).alias("before_n")).crossJoin(F.broadcast(  # one row each
-            after.agg(F.count(F.lit(1)).alias("after_n")))).withColumn("what", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """The same extracts three times over: a run killed between its rows and its log, one that goes on from there, and one that
+    has lost its checkpoint. The counts are those of the tables after the second and after the third."""
+    root, bronze, checkpoint = extract_root(spark, d), fresh_path(spark, "replayed"), fresh_path(spark, "cp-replayed")
+
+    def killed(step: str) -> None:
+        if step == "rows written":
+            raise RuntimeError("killed here on purpose")
+
+    try:
+        st.ingest_extracts(spark, root, None, bronze, checkpoint, killed)
+    except StreamingQueryException:
+        pass  # the run that was killed
+    counts = []
+    for place in (checkpoint, fresh_path(spark, "cp-lost")):
+        st.ingest_extracts(spark, root, None, bronze, place)
+        log = st.batch_log(spark, bronze)
+        counts.append({"batches": log.where("status = 'received'").select("source", files.extract_of(F.col(
+            "file_name"))).distinct().count(), "bronze": spark.read.parquet(bronze).count()})
+    return spark.createDataFrame([(what, counts[0][what], counts[1][what]) for what in ("batches", "bronze")],
+                                 "what string, before_n bigint, after_n bigint")
 
 
 # ---- streams -------------------------------------------------------------------------------------------------
@@ -187,24 +224,29 @@ def events_stream(spark: SparkSession, d: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
 
 
-@query("x01_each_file_once", ["raw"], """select batch_id, cast(count(*) as bigint) as rows from raw where source = 'plt03'
-    group by 1""")
+def _rows_per_batch(spark: SparkSession, bronze: str) -> DataFrame:
+    return spark.read.parquet(bronze).groupBy(F.concat_ws(":", "source", files.extract_of(F.col("file_name"))).alias(
+        "batch_id")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("x01_each_file_once", ["raw"], "select batch_id, cast(count(*) as bigint) as rows from raw group by 1")
 def each_file_once(spark: SparkSession, d: str) -> DataFrame:
-    """The batches of one plant, out of all extracts streamed into one bronze."""
-    return all_files_once(spark, d).where(F.col("batch_id").startswith("plt03:"))
+    """All sources' extracts, whatever their headers, as one stream into one bronze, twice, the second time with a lost
+    checkpoint."""
+    bronze = fresh_path(spark, "stream-bronze")
+    for run in ("first", "checkpoint-lost"):
+        st.ingest_extracts(spark, extract_root(spark, d), None, bronze, fresh_path(spark, f"cp-{run}"))
+    return _rows_per_batch(spark, bronze)
 
 
 @query("x07_all_files_once", ["raw"], "select batch_id, cast(count(*) as bigint) as rows from raw group by 1")
 def all_files_once(spark: SparkSession, d: str) -> DataFrame:
-    """Every header's extracts streamed into one bronze twice, the second time with a lost checkpoint."""
-    bronze = fresh_path(spark, "stream-bronze")
-    for run in ("first", "checkpoint-lost"):
-        for label, header in labels():
-            st.ingest_extracts(spark, f"{extract_root(spark, d)}/{label}", header, bronze, fresh_path(
-                spark, f"cp-{run}-{label}"))
-    part = lambda name: F.regexp_extract("path", f"{name}=([^/]+)", 1)
-    return spark.read.parquet(bronze).groupBy(F.concat_ws(":", part("source"), part("order_year")).alias("batch_id")).agg(
-        F.count(F.lit(1)).alias("rows"))
+    """A stream that is refused every file of another header than plt03's, and then goes on without that condition."""
+    bronze, checkpoint = fresh_path(spark, "stream-bronze"), fresh_path(spark, "cp-header")
+    header = dt.header_of("plt03", "1996")
+    st.ingest_extracts(spark, extract_root(spark, d), header, bronze, checkpoint)
+    st.ingest_extracts(spark, extract_root(spark, d), None, bronze, fresh_path(spark, "cp-any"))
+    return _rows_per_batch(spark, bronze)
 
 
 @query("x02_late_is_flagged", [], """select event_type, cast(count(*) as bigint) as accepted, cast(count(*) filter (where epoch(

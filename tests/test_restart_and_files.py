@@ -72,7 +72,7 @@ def test_every_file_is_read_by_its_own_header(spark, tmp_path):
         ("a.csv", 1, {"x": "1", "y": 'say "hi", ok'}), ("a.csv", 2, {"x": "", "y": ""}),
         ("b.csv", 1, {"y": "2", "x": "1", "z": "3"})]
     (tmp_path / "plt01" / "a.csv").write_text('x,y\n1,"two\nlines"\n')
-    rows = files.read_extracts(spark, str(tmp_path), multi_line=True).where("source_row = 1").collect()
+    rows = files.read_extracts(spark, str(tmp_path)).where("source_row = 1").collect()
     assert {"x": "1", "y": "two\nlines"} in [r.record for r in rows]
 
 
