@@ -7,6 +7,7 @@ refuse anything outside the small set a metric may use.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -168,24 +169,57 @@ def row_view(fact: DataFrame, m: Metric) -> DataFrame:
     return with_flags(fact, m).select(*m.key, F.col(m.period).alias("metric_date"), *m.dimensions, *extra, *m.flags)
 
 
+_SQL_TOKEN = re.compile(r"""--[^\n]*|/\*.*?\*/|\s+                                    # comments and space
+    |'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|`(?:[^`]|``)*`                      # literals and quoted names
+    |(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\w*|\w+|::|.""", re.S | re.X)  # numbers, names, signs
+_OPEN, _CLOSE = {"(": ")", "[": "]", "case": "end"}, {")", "]", "end"}
+
+
+def _closed(tokens: list[str], at: int) -> int:
+    """The place after what the bracket or CASE at `at` encloses."""
+    depth = 0
+    while at < len(tokens):
+        depth += (tokens[at].lower() in _OPEN) - (tokens[at].lower() in _CLOSE)
+        at += 1
+        if not depth:
+            break
+    return at
+
+
+def _operand(tokens: list[str], at: int) -> int:
+    """The place after the operand that begins at `at`: signs, one thing, and what hangs on it."""
+    blank = lambda t: t.isspace() or t.startswith(("--", "/*"))
+    while at < len(tokens) and (blank(tokens[at]) or tokens[at] in "+-~"):
+        at += 1
+    at = _closed(tokens, at) if at < len(tokens) and tokens[at].lower() in _OPEN else at + 1
+    while at < len(tokens):
+        after = at
+        while after < len(tokens) and blank(tokens[after]):
+            after += 1
+        if after < len(tokens) and tokens[after] in ("(", "["):
+            at = _closed(tokens, after)
+        elif after < len(tokens) and tokens[after] in (".", "::"):
+            at = _operand(tokens, after + 1)
+        else:
+            break
+    return at
+
+
 def safe_division(text: str) -> str:
-    """An expression whose every divisor is a double that is NULL instead of 0, at any depth, so x / 0 is NULL."""
-    out, at = [], 0
-    while (slash := text.find("/", at)) >= 0:
-        start = slash + 1 + len(text[slash + 1:]) - len(text[slash + 1:].lstrip())
-        end = start
-        while end < len(text) and (text[end].isalnum() or text[end] in "_.`"):
-            end += 1
-        if end < len(text) and text[end] == "(":
-            depth = 0
-            for end in range(end, len(text)):
-                depth += (text[end] == "(") - (text[end] == ")")
-                if not depth:
-                    break
-            end += 1
-        out.append(f"{text[at:slash]}/ nullif(cast({safe_division(text[start:end])} as double), 0e0)")
-        at = end
-    return "".join(out) + text[at:]
+    """An expression whose every divisor is a double that is NULL instead of 0, at any depth, so x / 0 is NULL. Literals, quoted
+    names and comments stay as they are."""
+    def rewritten(tokens: list[str]) -> str:
+        out, at = [], 0
+        while at < len(tokens):
+            out.append(tokens[at])
+            at += 1
+            if out[-1] == "/":
+                end = _operand(tokens, at)
+                out.append(f" nullif(cast(({rewritten(tokens[at:end])}\n) as double), 0e0)")  # a line comment ends here
+                at = end
+        return "".join(out)
+
+    return rewritten(_SQL_TOKEN.findall(text))
 
 
 def aggregate(fact: DataFrame, m: Metric, group_by: Sequence[str]) -> DataFrame:

@@ -18,12 +18,12 @@ def pipeline_health(batches: DataFrame) -> DataFrame:
         F.max("received_at").alias("last_received_at"))
 
 
-def backlog(queue: DataFrame, today: Column) -> DataFrame:
-    """What is open, whose it is, and how old the oldest is."""
+def backlog(queue: DataFrame, now: Column) -> DataFrame:
+    """What is open, whose it is, and how many days old the oldest is, to a tenth."""
     g = queue.where("status <> 'resolved'").groupBy(
         "source", "rule_id", "severity", "status", F.coalesce("owner", F.lit("(unassigned)")).alias("owner"))
     return g.agg(F.count(F.lit(1)).alias("exceptions"), F.min("created_on").alias("oldest_created")).withColumn(
-        "oldest_age_days", F.datediff(today, F.col("oldest_created").cast("date")))
+        "oldest_age_days", F.round((F.unix_timestamp(now) - F.unix_timestamp(F.col("oldest_created").cast("timestamp"))) / 86400.0, 1))
 
 
 def usage(calls: DataFrame, keys: list[str]) -> DataFrame:
@@ -33,6 +33,7 @@ def usage(calls: DataFrame, keys: list[str]) -> DataFrame:
         F.count(F.lit(1)).alias("calls"), outcome("ok").alias("ok"), outcome("invalid_output").alias("invalid_output"),
         outcome("error").alias("errors"), F.count_if((F.col("outcome") == "error") & F.col("error").startswith("429"))
         .alias("rate_limited"), F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("input_tokens"),
+        F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("output_tokens"),
         F.round(F.coalesce(F.sum(F.col("cost_usd").cast("decimal(18,6)")), F.lit(0)), 4).cast("double").alias("cost_usd"))
     tiles = percentile_disc_table(calls, keys, "latency_ms", {"p50_latency_ms": 0.5, "p95_latency_ms": 0.95})
     return sums.join(tiles, keys, "left")
@@ -41,13 +42,13 @@ def usage(calls: DataFrame, keys: list[str]) -> DataFrame:
 def tool_usage(calls: DataFrame) -> DataFrame:
     sums = calls.groupBy("tool").agg(
         F.count(F.lit(1)).alias("calls"), F.count_if(F.col("outcome") == "empty").alias("empty"),
-        F.count_if(F.col("outcome") == "error").alias("errors"))
+        F.count_if(F.col("outcome") == "error").alias("errors"), F.max("called_at").alias("last_called_at"))
     return sums.join(percentile_disc_table(calls, ["tool"], "latency_ms",
                                            {"p50_latency_ms": 0.5, "p95_latency_ms": 0.95}), "tool", "left")
 
 
 def agent_runs(runs: DataFrame) -> DataFrame:
-    return runs.groupBy("status", "outcome", "decision").agg(
+    return runs.groupBy("status", "outcome", "gate_disposition", "decision").agg(
         F.count(F.lit(1)).alias("runs"), F.count_if("fallback").alias("fallbacks"),
         F.round(F.avg("iterations"), 2).alias("mean_tool_calls"),
         F.min(F.when(F.col("status") == "awaiting_approval", F.col("started_at"))).alias("oldest_awaiting_since"))

@@ -279,14 +279,14 @@ def fuse(lists: dict[str, DataFrame], k: int = RRF_K) -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct("list", "rank"))).alias("ranks"))
 
 
-def hybrid(chunks: DataFrame, questions: DataFrame, k: int = TOP_K) -> DataFrame:
-    """The k best by BM25 and vectors fused, exactly.
+def hybrid(chunks: DataFrame, questions: DataFrame, scores: DataFrame, k: int = TOP_K) -> DataFrame:
+    """The k best by BM25 (`scores`) and vectors fused, exactly.
 
     Each list's first k chunks score at least 1/(60+k), and a chunk whose better rank is r at most 2/(60+r); so
     only chunks within rank 60+2k of either list can be among the k best. Those get their exact rank in the other.
     """
     depth = RRF_K + 2 * k
-    lexical = ranked(bm25(chunks, questions))
+    lexical = ranked(scores)
     near = vector_topk(chunks, questions, depth)
     candidates = lexical.where(F.col("rank") <= depth).select("query_id", "chunk_id").unionByName(
         near.select("query_id", "chunk_id")).distinct()
@@ -319,32 +319,74 @@ def status_note(status: Column, superseded_by: Column, effective: Column) -> Col
             " and no longer in force; it describes that past period only and must not be applied to later periods.")))
 
 
-def precedence(ranking: DataFrame, winner: str, loser: str, terms: list[str], k: int = TOP_K) -> DataFrame:
-    """Top k with the other side of a declared precedence brought in.
+def require_vectors(chunks: DataFrame, questions: DataFrame) -> DataFrame:
+    """The chunks that have a vector. The query fails when one without may be seen by any of the askers: a ranking that
+    left it out would be incomplete. One nobody may see does no harm."""
+    lost = chunks.where("vector is null").groupBy(*CLASS).agg(F.count(F.lit(1)).alias("_n"))
+    hidden = contexts(questions).join(lost, visible()).agg(F.max("_n").alias("_lost"))
+    told = F.assert_true(F.col("_lost").isNull(), F.concat(F.lit("permitted chunks without an embedding: "), F.col("_lost").cast(
+        "string")))
+    checked = chunks.where("vector is not null").crossJoin(F.broadcast(hidden))  # one row
+    return checked.where(told.isNull()).drop("_lost")
 
-    `ranking`: query_id, chunk_id, doc_id, text, rank. When a top-k chunk of either document touches the topic, the
-    best touching chunk of the document that is missing replaces the lowest hit that is neither; winner and loser
-    get their label. Only aggregates and the k best per question are needed.
+
+def touches(text: Column, terms: Column) -> Column:
+    """Whether a text holds any of an array of terms, whatever the case."""
+    return F.exists(terms, lambda t: F.contains(F.lower(text), F.lower(t)))
+
+
+def precedence(ranking: DataFrame, top: DataFrame, rules: DataFrame, k: int = TOP_K) -> DataFrame:
+    """Top k with the other side of declared precedences brought in, and notes on every chunk.
+
+    `rules`: rule_no, winner, loser, topic, terms; a configuration table. `ranking`: query_id, chunk_id, doc_id, text, rank or
+    any other order in `rank`, status_note, of all chunks of the rules' documents that the asker may see; `top`: the same of the
+    k best. Rules are applied in order. When a chosen chunk of either document touches a rule's topic, the best touching chunk
+    of each of the two that has none is brought in, for the lowest chosen one of neither; then chosen chunks that touch get
+    the rule's note. Per question only the chosen ones and two chunks for each rule are held.
     """
-    touches = F.lit(False)
-    for t in terms:
-        touches = touches | F.contains(F.lower("text"), F.lit(t.lower()))
-    r = ranking.withColumn("_side", F.when(touches & (F.col("doc_id") == winner), "winner").when(
-        touches & (F.col("doc_id") == loser), "loser"))
-    top = r.where(F.col("rank") <= k)
-    best = r.where(F.col("_side").isNotNull()).groupBy("query_id", "_side").agg(
-        F.min_by(F.struct("chunk_id", "doc_id", "rank"), "rank").alias("_c"))
-    state = top.groupBy("query_id").agg(F.collect_set("_side").alias("_have"))
-    extra = best.join(state.where(F.size("_have") > 0), "query_id").where(~F.array_contains("_have", F.col("_side")))
-    room = extra.groupBy("query_id").agg(F.count(F.lit(1)).alias("_drop"))
-    other = F.col("doc_id").isin(winner, loser)
-    back = Window.partitionBy("query_id").orderBy(other.cast("int"), F.desc("rank"))
-    kept = top.join(room, "query_id", "left").withColumn("_i", F.row_number().over(back)).where(
-        F.col("_drop").isNull() | other | (F.col("_i") > F.col("_drop")))
-    label = F.when(F.col("_side") == "winner", F.lit(f"TAKES PRECEDENCE over {loser}")).when(
-        F.col("_side") == "loser", F.lit(f"OVERRIDDEN by {winner}"))
-    return kept.select("query_id", "chunk_id", "rank", "_side").unionByName(
-        extra.select("query_id", "_c.chunk_id", "_c.rank", "_side")).withColumn("note", label).drop("_side")
+    of_rule = lambda r: touches(F.col("text"), r["terms"])
+    every = rules.agg(F.array_sort(F.collect_list(F.struct("rule_no", "winner", "loser", "topic", "terms"))).alias("_rules"))
+    hit = F.struct("chunk_id", "doc_id", "rank", F.filter(F.array("status_note"), lambda n: n.isNotNull()).alias("notes"),
+                   F.transform(F.filter("_rules", of_rule), lambda r: r["rule_no"]).alias("touches"))
+    with_rules = lambda df: df.crossJoin(F.broadcast(every)).withColumn("_hit", hit)  # noqa: E731  one row
+    chosen = with_rules(top).groupBy("query_id").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "_hit"))).alias("_top"), F.first("_rules").alias("_rules"))
+    mine = with_rules(ranking).withColumn("_rule", F.explode("_rules")).where(
+        F.col("doc_id").isin(F.col("_rule.winner"), F.col("_rule.loser")) & F.array_contains("_hit.touches", F.col("_rule.rule_no")))
+    extras = mine.groupBy("query_id", F.col("_rule.rule_no").alias("rule_no"), "doc_id").agg(
+        F.min_by("_hit", F.struct("rank", "chunk_id")).alias("hit")).groupBy("query_id").agg(F.collect_list(
+            F.struct("rule_no", "doc_id", "hit")).alias("_extras"))
+    held = chosen.join(extras, "query_id", "left").select("query_id", F.transform("_top", lambda t: t["_hit"]).alias("_chosen"), F.coalesce(
+        "_extras", F.array().cast(extras.schema["_extras"].dataType)).alias("_extras"), F.flatten(F.transform("_rules", lambda r: F.array(
+            F.struct(r.alias("rule"), F.lit(0).alias("step"), r["winner"].alias("doc")),
+            F.struct(r.alias("rule"), F.lit(1).alias("step"), r["loser"].alias("doc")),
+            F.struct(r.alias("rule"), F.lit(2).alias("step"), F.lit("").alias("doc"))))).alias("_steps"))
+    kind = held.schema["_chosen"].dataType.simpleString()
+
+    def step(state: Column, s: Column) -> Column:
+        rule, chosen_now = s["rule"], state["chosen"]
+        side = lambda h: (h["doc_id"] == rule["winner"]) | (h["doc_id"] == rule["loser"])
+        meant = lambda h: F.array_contains(h["touches"], rule["rule_no"])
+        active = F.when(s["step"] == 0, F.exists(chosen_now, lambda h: side(h) & meant(h))).otherwise(state["active"])
+        there = F.exists(chosen_now, lambda h: (h["doc_id"] == s["doc"]) & meant(h))
+        extra = F.filter(F.col("_extras"), lambda e: (e["rule_no"] == rule["rule_no"]) & (e["doc_id"] == s["doc"]))
+        others = F.filter(F.transform(chosen_now, lambda h, i: F.when(~side(h), i)), lambda i: i.isNotNull())
+        last = F.coalesce(F.array_max(others), F.lit(-1))
+        brought = F.concat(F.filter(chosen_now, lambda h, i: i != last), F.transform(extra, lambda e: e["hit"]))
+        note = lambda h: F.when((h["doc_id"] == rule["winner"]) & meant(h), F.concat(
+            F.lit("TAKES PRECEDENCE over "), rule["loser"], F.lit(" on "), rule["topic"], F.lit("."))).when(
+            (h["doc_id"] == rule["loser"]) & meant(h), F.concat(
+                F.lit("OVERRIDDEN by "), rule["winner"], F.lit(" on "), rule["topic"], F.lit(": where they disagree, "),
+                rule["winner"], F.lit(" applies.")))
+        noted = F.transform(chosen_now, lambda h: h.withField("notes", F.filter(
+            F.array_append(h["notes"], note(h)), lambda n: n.isNotNull())))
+        now = F.when(~active, chosen_now).when(s["step"] == 2, noted).when(~there & (F.size(extra) > 0), brought).otherwise(chosen_now)
+        return F.struct(now.alias("chosen"), active.alias("active"))
+
+    begin = F.struct(F.col("_chosen").cast(kind).alias("chosen"), F.lit(False).alias("active"))
+    done = held.select("query_id", F.aggregate("_steps", begin, step)["chosen"].alias("_c"))
+    return done.select("query_id", F.posexplode("_c").alias("position", "_h")).select(
+        "query_id", (F.col("position") + 1).alias("position"), "_h.chunk_id", "_h.doc_id", "_h.rank", "_h.notes")
 
 
 # ---- chunking ------------------------------------------------------------------------------------------------
@@ -427,13 +469,15 @@ def chunk_documents(documents: DataFrame, budget: int = 350) -> DataFrame:
 def drop_boilerplate(hits: DataFrame, gap: float = 0.03) -> DataFrame:
     """Drop a hit whose document type was already kept with a score less than `gap` away (query_id, doc_type,
     score, rank; k hits per question)."""
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        last: dict[str, float] = {}
-        kept = []
-        for row in pdf.sort_values("rank").itertuples(index=False):
-            if row.doc_type not in last or abs(last[row.doc_type] - row.score) >= gap:
-                last[row.doc_type] = row.score
-                kept.append(row)
-        return pd.DataFrame(kept, columns=pdf.columns)
-
-    return hits.groupBy("query_id").applyInPandas(walk, hits.schema)
+    rest = [c for c in hits.columns if c != "query_id"]
+    row = F.struct("rank", *[c for c in rest if c != "rank"])
+
+    def add(kept: Column, h: Column) -> Column:
+        last = F.try_element_at(F.filter(kept, lambda x: x["doc_type"].eqNullSafe(h["doc_type"])), F.lit(-1))
+        near = F.coalesce(F.abs(last["score"] - h["score"]) < gap, F.lit(False))
+        return F.when(near, kept).otherwise(F.array_append(kept, h))
+
+    listed = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("_h"))
+    kind = listed.schema["_h"].dataType.simpleString()
+    kept = listed.select("query_id", F.explode(F.aggregate("_h", F.array().cast(kind), add)).alias("_k"))
+    return kept.select("query_id", "_k.*").select(*hits.columns)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyline.operators import lexical as lx
 from tallyline.operators import retrieval as rt
+from tallyline.operators.index_store import IndexStore
 from tallyline.plans.registry import cte, query
+from tallyline.session import fresh_path
 from tallyline.sources import driver_tables as dt
+from tallyline.sources import knowledge
 
 CHUNK_EXPRS = [
     "concat('D', lpad(cast(doc_id as string), 12, '0')) as chunk_id", "cast(doc_id as string) as doc_id", "text",
@@ -46,6 +50,23 @@ def vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return c, q
 
 
+def _store(spark: SparkSession, d: str):  # noqa: ANN202
+    return lambda name, df: dt.stored(spark, d, name, lambda: df)
+
+
+def lexical(spark: SparkSession, d: str) -> lx.Index:
+    """The inverted index over the chunks, built once for all that search in it."""
+    return lx.index(lx.counted(chunks(spark, d)), _store(spark, d))
+
+
+def bm25_scores(spark: SparkSession, d: str) -> DataFrame:
+    return lx.bm25(lexical(spark, d), questions(spark, d))
+
+
+def bm25_top(spark: SparkSession, d: str, k: int = rt.TOP_K) -> DataFrame:
+    return rt.top_k(bm25_scores(spark, d), k)
+
+
 _STOP = ", ".join(f"'{w}'" for w in rt.STOP_WORDS)
 _TOK = lambda c: (f"list_filter(regexp_extract_all(lower({c}), '{rt.TOKEN}'), lambda t: t not in ({_STOP}))")
 _SEE = """(access_level = 'all' or (access_level = 'restricted' and role in ('leadership', 'data_owner')) or (access_level
@@ -127,12 +148,18 @@ def tokens(spark: SparkSession, d: str) -> DataFrame:
 
 @query("r03_bm25", ["brank"], f"select {_OUT} from brank where rank <= 6")
 def bm25(spark: SparkSession, d: str) -> DataFrame:
-    return _out(rt.top_k(rt.bm25(chunks(spark, d), questions(spark, d))))
+    return _out(bm25_top(spark, d))
+
+
+@query("r15_pruned_top_k", ["brank"], f"select {_OUT} from brank where rank <= 6")
+def pruned_top_k(spark: SparkSession, d: str) -> DataFrame:
+    """The same from bounds of posting blocks, without the lists of all matches."""
+    return _out(lx.bm25_top(lexical(spark, d), questions(spark, d), rt.TOP_K, _store(spark, d)))
 
 
 @query("w13_rank_lists", ["brank"], f"select {_OUT} from brank")
 def rank_lists(spark: SparkSession, d: str) -> DataFrame:
-    return _out(rt.ranked(rt.bm25(chunks(spark, d), questions(spark, d))))
+    return _out(rt.ranked(bm25_scores(spark, d)))
 
 
 _BI = lambda t: (f"list_concat({t}, list_transform(range(1, len({t})), lambda i: concat({t}[i], ' ', {t}[i + 1])))")
@@ -164,7 +191,8 @@ def hashing(spark: SparkSession, d: str) -> DataFrame:
 
 @query("r05_vector_ranking", ["vrank"], f"select {_OUT} from vrank where rank <= 20")
 def vector_ranking(spark: SparkSession, d: str) -> DataFrame:
-    return _out(rt.vector_topk(*vectors(spark, d), k=20))
+    c, q = vectors(spark, d)
+    return _out(rt.vector_topk(rt.require_vectors(c, q), q, k=20))
 
 
 @query("r06_rank_fusion", ["brank", "vrank"], f"""select query_id, chunk_id, round(score, 6) as score, cast(rank as bigint)
@@ -172,7 +200,8 @@ def vector_ranking(spark: SparkSession, d: str) -> DataFrame:
     (select query_id, chunk_id, rank from brank union all select query_id, chunk_id, rank from vrank) u group by 1, 2) f) z
     where rank <= 6""")
 def fusion(spark: SparkSession, d: str) -> DataFrame:
-    return _out(rt.hybrid(*vectors(spark, d)))
+    c, q = vectors(spark, d)
+    return _out(rt.hybrid(rt.require_vectors(c, q), q, bm25_scores(spark, d)))
 
 
 @query("t01_top_k", ["vrank"], "select query_id, chunk_id, cast(rank as bigint) as rank from vrank where rank <= 6")
@@ -243,28 +272,51 @@ def vector_scan(spark: SparkSession, d: str) -> DataFrame:
     return _out(rt.vector_topk(pool, centre, 10))
 
 
-@query("u03_chunk_sync", ["hashed"], """select 'removed' as change, cast(count(*) as
-    bigint) as n from (select doc_id from labels where cast(doc_id as varchar) not in (select doc_id from hashed)) a
-    union all select 'added', cast(count(*) as bigint) from hashed where doc_id not in (select cast(doc_id as varchar) from
-    labels) union all select 'kept', cast(count(*) as bigint) from hashed where doc_id in (select cast(doc_id as varchar)
-    from labels)""")
+@query("u03_chunk_sync", ["hashed"], """with old as (select distinct cast(doc_id as varchar) as doc_id, case when doc_id % 5 = 0
+    then 'older text' end as text from labels), o as (select old.doc_id, coalesce(old.text, h.text_sha256, 'gone') as sha from old
+    left join hashed h on h.doc_id = old.doc_id), j as (select o.doc_id as a, h.doc_id as b, o.sha, h.text_sha256 from o full join
+    hashed h on h.doc_id = o.doc_id) select 'removed' as change, cast(count(*) filter (where b is null) as bigint) as n from j
+    union all select 'added', cast(count(*) filter (where a is null) as bigint) from j union all select 'updated', cast(count(*)
+    filter (where a is not null and b is not null and sha <> text_sha256) as bigint) from j union all select 'kept', cast(count(*)
+    filter (where sha = text_sha256) as bigint) from j union all select 'before', cast(count(a) as bigint) from j union all select
+    'after', cast(count(b) as bigint) from j""")
 def chunk_sync(spark: SparkSession, d: str) -> DataFrame:
-    """The labelled documents stand for the index as it was; the documents are the corpus now."""
-    old = dt.table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("doc_id")).distinct()
-    new = hashed(spark, d).select("doc_id")
-    j = old.withColumn("_o", F.lit(1)).join(new.withColumn("_n", F.lit(1)), "doc_id", "full")
-    one = j.agg(F.count_if(F.col("_n").isNull()).alias("removed"), F.count_if(F.col("_o").isNull()).alias("added"),
-                F.count_if(F.col("_o").isNotNull() & F.col("_n").isNotNull()).alias("kept"))
-    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("change"), F.col(c).alias("n"))
-                                          for c in ("removed", "added", "kept")])).alias("_c")).select("_c.*")
-
-
-@query("r10_corpus_hash", ["hashed"], """select sha256(string_agg(concat(doc_id, ':', text_sha256), ',' order by bucket_key,
-    doc_id)) as corpus_sha256, cast(count(*) as bigint) as chunks from (select *, 0 as bucket_key from hashed) h""")
+    """The index of the labelled documents, some with an older text, brought up to the corpus of today. `before` is counted
+    afterwards, by a reader that holds on to the version of before."""
+    now = hashed(spark, d).select("doc_id", "text_sha256")
+    ids = dt.table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("doc_id")).distinct()
+    old = ids.join(now, "doc_id", "left").select("doc_id", F.when(F.col("doc_id").cast("bigint") % 5 == 0, "older text").otherwise(
+        F.coalesce("text_sha256", F.lit("gone"))).alias("text_sha256"))
+    index = IndexStore(spark, fresh_path(spark, "chunk-index"), "doc_id string, text_sha256 string", "doc_id")
+    first = index.sync(old)
+    second = index.sync(now)
+    before, after = index.read(first.version).count(), index.read().count()
+    rows = [("removed", second.deleted), ("added", second.inserted), ("updated", second.updated),
+            ("kept", after - second.inserted - second.updated), ("before", before), ("after", after)]
+    return spark.createDataFrame(rows, "change string, n bigint")
+
+
+_LEAVES = "(select sha256(concat(doc_id, ':', text_sha256)) as leaf, doc_id, text_sha256 from hashed)"
+
+
+@query("r10_corpus_hash", ["hashed"], f"""with leaves as {_LEAVES}, b as (select left(leaf, 5) as node, sha256(string_agg(leaf, ''
+    order by leaf)) as digest from leaves group by 1), c as (select left(node, 3) as node, sha256(string_agg(concat(node, digest),
+    '' order by node)) as digest from b group by 1), e as (select left(node, 1) as node, sha256(string_agg(concat(node, digest), ''
+    order by node)) as digest from c group by 1), old as (select left(sha256(concat(doc_id, ':', t)), 5) as node, sha256(string_agg(
+    sha256(concat(doc_id, ':', t)), '' order by sha256(concat(doc_id, ':', t)))) as digest from (select doc_id, case when
+    cast(doc_id as bigint) % 100 = 3 then 'older text' else text_sha256 end as t from hashed where cast(doc_id as bigint) % 50 <> 7)
+    o group by 1) select (select sha256(string_agg(concat(node, digest), '' order by node)) from e) as corpus_sha256, (select
+    cast(count(*) as bigint) from hashed) as chunks, (select cast(count(*) as bigint) from b full join old on b.node = old.node where
+    b.digest is distinct from old.digest) as stale""")
 def corpus_hash(spark: SparkSession, d: str) -> DataFrame:
-    from tallyline.sources.knowledge import corpus_digest
-
-    return corpus_digest(hashed(spark, d).select(F.col("doc_id").alias("path"), "text_sha256"))
+    """The corpus digest, and in how many places an index of before some texts came and others changed differs from it."""
+    now = hashed(spark, d).select(F.col("doc_id").alias("path"), "text_sha256")
+    n = F.col("path").cast("bigint")
+    old = now.where(n % 50 != 7).withColumn("text_sha256", F.when(n % 100 == 3, "older text").otherwise(F.col("text_sha256")))
+    held = fresh_path(spark, "held-buckets")
+    knowledge.buckets(old).write.parquet(held)
+    stale = knowledge.stale_buckets(spark.read.parquet(held), now).agg(F.count(F.lit(1)).alias("stale"))
+    return knowledge.corpus_digest(now).crossJoin(F.broadcast(stale))  # one row each
 
 
 @query("r01_section_chunks")
@@ -276,13 +328,26 @@ def section_chunks(spark: SparkSession, d: str) -> DataFrame:
                                            F.size(F.split(F.trim("text"), r"\s+")).alias("words"))
 
 
+# Rules over documents of the corpus: the first two share a document, so the second sees what the first brought in.
+RULES = [(1, "11", "12", "deadlines", ["the", "der"]), (2, "12", "40", "amounts", ["an", "und"]), (3, "3", "11", "signatures", ["de"])]
+RULE_SCHEMA = "rule_no int, winner string, loser string, topic string, terms array<string>"
+
+
 @query("r07_declared_precedence")
 def precedence(spark: SparkSession, d: str) -> DataFrame:
-    """The most retrieved English and German documents stand for the winner and loser of a declared precedence."""
-    c, q = chunks(spark, d), questions(spark, d)
-    lists = rt.ranked(rt.bm25(c, q)).join(c.select("chunk_id", "doc_id", "text"), "chunk_id")
-    return rt.precedence(lists, "11", "12", ["the", "der", "an"]).select("query_id", "chunk_id", F.col("rank").cast(
-        "bigint").alias("rank"), "note")
+    """The best chunks with declared precedences applied in order, and status notes. Of all chunks only those of the rules'
+    documents are scored beside the best."""
+    c, q, ix = chunks(spark, d), questions(spark, d), lexical(spark, d)
+    rules = spark.createDataFrame(RULES, RULE_SCHEMA)
+    note = rt.status_note(F.col("status"), F.lit("a later version"), F.lit("an earlier date")).alias("status_note")
+    shown = c.select("chunk_id", "doc_id", "text", note)
+    ruled = shown.join(F.broadcast(rules.select(F.explode(F.array("winner", "loser")).alias("doc_id")).distinct()), "doc_id")
+    of_rules = lx.bm25(lx.narrowed(ix, ruled), q).withColumn("rank", -F.round("score", 9))  # an order like the rank's
+    top = bm25_top(spark, d).withColumn("rank", -F.col("score"))
+    column = lambda df, of: df.join(of, "chunk_id").select("query_id", "chunk_id", "doc_id", "text", "rank", "status_note")
+    found = rt.precedence(column(of_rules, ruled), column(top, shown), rules)
+    return found.select("query_id", F.col("position").cast("bigint").alias("position"), "chunk_id",
+                        F.array_join("notes", " ").alias("notes"))
 
 
 @query("r12_boilerplate_filter")
@@ -293,13 +358,18 @@ def boilerplate(spark: SparkSession, d: str) -> DataFrame:
         "score", F.round("score", 6))
 
 
-@query("r13_restricted_search", ["bm", "chs"], f"""select {_OUT} from (select b.*, row_number() over (partition by query_id order
-    by score desc, chunk_id) as rank from bm b join chs using (chunk_id) where doc_type = 'de') z where rank <= 5""")
+@query("r13_restricted_search", ["bm", "chs"], """select doc_type, query_id, chunk_id, round(score + cast(1e-10 as double), 6) as
+    score, cast(rank as bigint) as rank from (select b.*, doc_type, row_number() over (partition by query_id, doc_type order by score
+    desc, chunk_id) as rank from bm b join chs using (chunk_id)) z where rank <= 5""")
 def restricted_search(spark: SparkSession, d: str) -> DataFrame:
-    """Search narrowed to one document type after ranking on the whole permitted pool."""
-    c = chunks(spark, d)
-    scores = rt.bm25(c, questions(spark, d)).join(c.where("doc_type = 'de'").select("chunk_id"), "chunk_id", "left_semi")
-    return _out(rt.top_k(scores, 5))
+    """Search narrowed to each document type, scored by the whole permitted pool."""
+    ix, q = lexical(spark, d), questions(spark, d)
+    types = chunks(spark, d).select("chunk_id", "doc_type")
+    scores = lx.bm25(ix, q).withColumn("score", F.round("score", 9)).join(types, "chunk_id")
+    order = Window.partitionBy("query_id", "doc_type").orderBy(F.desc("score"), "chunk_id")
+    best = scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 5)
+    return _out(best.withColumn("query_id", F.struct("doc_type", "query_id"))).select(
+        "query_id.doc_type", "query_id.query_id", "chunk_id", "score", "rank")
 
 
 @query("a34_document_rollup", ["chs"], """select status, access_level, coalesce(plant, '-') as plant, cast(count(*) as bigint)
@@ -325,7 +395,7 @@ _CITED = """(select query_id, list(chunk_id order by rank) as retrieved, case wh
 def citations(spark: SparkSession, d: str) -> DataFrame:
     from tallyline.operators.evaluate import citation_check
 
-    hits = rt.top_k(rt.bm25(chunks(spark, d), questions(spark, d)))
+    hits = bm25_top(spark, d)
     per = hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))),
                                                    lambda h: h["chunk_id"]).alias("retrieved"))
     stray = F.split("query_id", "-")[0].cast("bigint") % 3 == 0
@@ -352,7 +422,7 @@ def retrieval_recall(spark: SparkSession, d: str) -> DataFrame:
     q = questions(spark, d)
     labels = dt.table(spark, d, "labels").groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(
         F.max("quality").alias("expected"), F.max("toxic").alias("forbidden"))
-    hits = rt.top_k(rt.bm25(chunks(spark, d), q)).join(chunks(spark, d).select("chunk_id", "doc_id"), "chunk_id")
+    hits = bm25_top(spark, d).join(chunks(spark, d).select("chunk_id", "doc_id"), "chunk_id")
     asked = q.select("query_id", F.col("role").alias("challenge"), (F.col("role") == "analyst").alias("should_refuse"))
     return retrieval_score(hits.withColumn("mode", F.lit("bm25")), asked, labels)
 

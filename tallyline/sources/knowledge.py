@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.functions.text import strip
@@ -48,10 +48,34 @@ def duplicate_ids(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("chunk_id").count().where("count > 1")
 
 
+LEVELS = (5, 3, 1)  # leading hexadecimal digits of the nodes of each level
+
+
+def _node(rows: DataFrame, depth: int, of: Column, what: Column) -> DataFrame:
+    return rows.groupBy(F.left(of, F.lit(depth)).alias("node")).agg(
+        F.sha2(F.array_join(F.array_sort(F.collect_list(what)), ""), 256).alias("digest"), F.count(F.lit(1)).alias("n"))
+
+
+def buckets(files: DataFrame) -> DataFrame:
+    """The lowest nodes of the corpus digest (node, digest, n) from (path, text_sha256): documents by the first digits of a
+    digest of their own. An index keeps this table, at most 16^5 rows, to tell later which of its documents are stale."""
+    leaf = F.sha2(F.concat(F.coalesce("path", F.lit("")), F.lit(":"), F.coalesce("text_sha256", F.lit(""))), 256)
+    return _node(files.select(leaf.alias("leaf")), LEVELS[0], F.col("leaf"), F.col("leaf"))
+
+
 def corpus_digest(files: DataFrame) -> DataFrame:
-    """One digest of the whole corpus from (path, text_sha256), and its size. The list of hashes is the corpus
-    manifest: 64 characters per document, whatever the documents hold."""
-    return files.agg(
-        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "text_sha256"))),
-                                        lambda f: F.concat_ws(":", f["path"], f["text_sha256"])), ","), 256)
-        .alias("corpus_sha256"), F.count(F.lit(1)).alias("chunks"))
+    """One digest of the whole corpus from (path, text_sha256), and its size. It is the root of a tree whose nodes are digests of
+    their children in order; no node has more than 256 children above the buckets, so no list of all documents is formed."""
+    level = buckets(files)
+    size = level.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("chunks"))
+    for depth in (*LEVELS[1:], 0):
+        level = _node(level, depth, F.col("node"), F.concat("node", "digest"))
+    root = F.coalesce(F.max("digest"), F.sha2(F.lit(""), 256))
+    return level.agg(root.alias("corpus_sha256")).crossJoin(F.broadcast(size))  # one row each
+
+
+def stale_buckets(held: DataFrame, files: DataFrame) -> DataFrame:
+    """The nodes in which an index built over `held` buckets and the corpus of today differ; none if it is up to date."""
+    now = buckets(files)
+    return held.select("node", F.col("digest").alias("_held")).join(now.select("node", F.col("digest").alias("_now")), "node", "full").where(
+        ~F.col("_held").eqNullSafe(F.col("_now"))).select("node")

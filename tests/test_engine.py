@@ -123,8 +123,10 @@ def test_boilerplate_is_sequential(spark):
 def test_precedence_brings_in_the_other_side(spark):
     rows = [("q", f"c{i}", f"d{i}", "plain", i) for i in range(1, 7)] + [("q", "w", "W", "about WEIGHT", 7)]
     rows[1] = ("q", "c2", "L", "weight in kg", 2)
-    df = spark.createDataFrame(rows, "query_id string, chunk_id string, doc_id string, text string, rank int")
-    out = {r.chunk_id: r.note for r in retrieval.precedence(df, "W", "L", ["weight"]).collect()}
+    df = spark.createDataFrame(rows, "query_id string, chunk_id string, doc_id string, text string, rank int").withColumn(
+        "status_note", F.lit(None).cast("string"))
+    rules = spark.createDataFrame([(1, "W", "L", "t", ["weight"])], "rule_no int, winner string, loser string, topic string, terms array<string>")
+    out = {r.chunk_id: " ".join(r.notes) for r in retrieval.precedence(df, df.where("rank <= 6"), rules).collect()}
     assert set(out) == {"c1", "c2", "c3", "c4", "c5", "w"}
     assert out["w"].startswith("TAKES PRECEDENCE") and out["c2"].startswith("OVERRIDDEN")
 
