@@ -107,7 +107,7 @@ def rollup(spark: SparkSession, d: str) -> DataFrame:
     return rc.rollup(daily, ["month", "plant"], "otif_lines", "lines")
 
 
-_PAIR = """with o as (select month, plant, count(*) filter (where gov_on_time and gov_in_full) / cast(count(*) as
+PAIR = """with o as (select month, plant, count(*) filter (where gov_on_time and gov_in_full) / cast(count(*) as
     double) as v, count(*) filter (where gov_on_time and count_in_full) / cast(count(*) as double) as l from flags
     group by 1, 2), f as (select month, plant, sum(invoiced_weight_lb) / nullif(sum(ordered_weight_lb), 0) as v
     from flags group by 1, 2), both_pairs as (select 'otif' as metric, month as period, concat('plant=', plant) as
@@ -115,7 +115,7 @@ _PAIR = """with o as (select month, plant, count(*) filter (where gov_on_time an
     month, concat('plant=', plant), v, v, null, null from f)"""
 
 
-@query("a10_compare_consumers", ["flags"], _PAIR + """ select metric, period, grain_key, round(value_a, 6) as value_a,
+@query("a10_compare_consumers", ["flags"], PAIR + """ select metric, period, grain_key, round(value_a, 6) as value_a,
     round(value_b, 6) as value_b, cast(0 as double) as delta, round(value_legacy, 6) as value_legacy,
     round(legacy_delta, 6) as legacy_delta, case when value_a is null then 'red' else 'green' end as status
     from both_pairs""")
@@ -136,7 +136,7 @@ def full_outer(spark: SparkSession, d: str) -> DataFrame:
     return rc.full_on_nulls(a, b, ["month", "plant"])
 
 
-@query("a39_legacy_gap_summary", ["flags"], _PAIR + """ select cast(count(*) filter (where legacy_delta <> 0) as bigint)
+@query("a39_legacy_gap_summary", ["flags"], PAIR + """ select cast(count(*) filter (where legacy_delta <> 0) as bigint)
     as rows_different, round_even(max(abs(legacy_delta)), 4) as max_gap from both_pairs where metric = 'otif'""")
 def legacy_gap(spark: SparkSession, d: str) -> DataFrame:
     rows = rc.compare_consumers(clean_lines(spark, d)).where("metric = 'otif'")
@@ -144,7 +144,7 @@ def legacy_gap(spark: SparkSession, d: str) -> DataFrame:
                     F.bround(F.max(F.abs("legacy_delta")), 4).alias("max_gap"))
 
 
-@query("a37_period_grid", ["flags"], _PAIR + """ select period, max(case when grain_key = 'plant=PLT-01' then
+@query("a37_period_grid", ["flags"], PAIR + """ select period, max(case when grain_key = 'plant=PLT-01' then
     round(legacy_delta, 6) end) as "PLT-01", max(case when grain_key = 'plant=PLT-02' then round(legacy_delta, 6) end)
     as "PLT-02", max(case when grain_key = 'plant=PLT-03' then round(legacy_delta, 6) end) as "PLT-03"
     from both_pairs where metric = 'otif' group by 1""")

@@ -77,9 +77,15 @@ def test_every_file_is_read_by_its_own_header(spark, tmp_path):
 
 
 @pytest.mark.parametrize("text, value", [("a / b", None), ("avg(a / b)", None), ("(a + 1) / (b + 2) / 2", 1.0),
-                                         ("coalesce(a / (b / a), 7)", 7.0), ("sum(a) / sum(b)", None), ("a / 2 > 1", True)])
+                                         ("coalesce(a / (b / a), 7)", 7.0), ("sum(a) / sum(b)", None), ("a / 2 > 1", True),
+                                         ("a / -b", None), ("a / - (2)", -1.5), ("a / 1e-3", 3000.0), ("a / .5e0 / 2", 3.0),
+                                         ("a / `c d`", 0.75), ("concat('kg/lb', a / 2)", "kg/lb1.5"), ("a /* 1/0 */ / 4 -- x/0", 0.75),
+                                         ("a / 4 -- of b / 0\n + 1", 1.75), ("a / case when b = 0 then 0 else 1 end", None),
+                                         ("a / array(2, 0)[0]", 1.5), ("a / array(2, 0)[1]", None), ("a / named_struct('x', 2).x", 1.5),
+                                         ("a / abs(b) + 1", None), ("'it''s 1/2' = 'it''s 1/2' and a / 2 = 1.5", True),
+                                         ("a / 2 * 4", 6.0), ("2 * a / cast('4' as int)", 1.5)])
 def test_divisions_at_any_depth(spark, text, value):
-    df = spark.createDataFrame([(3, 0)], "a int, b int")
+    df = spark.createDataFrame([(3, 0, 4)], "a int, b int, `c d` int")
     expr = F.expr(safe_division(text))
     assert (df.agg(expr) if "avg" in text or "sum" in text else df.select(expr)).first()[0] == value
 
