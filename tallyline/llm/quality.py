@@ -25,13 +25,17 @@ from tallyline.llm.words import Hasher, Words, blocks, mix, ragged, window_hashe
 CHUNK_BYTES = 2048
 ZSTD_LEVEL = 3
 #: Length bands: (bytes up to, lowest ratio, highest ratio). Longer than the last: LONGEST.
-#: Lowest ratios lie between what random letters and digits reach (1.09 at 256 bytes, 1.24 at 512, 1.32 at 1,024, 1.37 at
-#: 2,048, 1.40 at any length) and the lowest of real texts (1.33 up to 512 bytes, 1.51 up to 1,024, 1.74 up to 2,048).
-BANDS = ((256, 1.15, 2.5), (512, 1.28, 2.3), (768, 1.36, 2.45), (1024, 1.42, 2.45), (1536, 1.5, 2.6), (2048, 1.55, 2.6),
-         (4096, 1.6, 2.75), (8192, 1.6, 2.9), (16384, 1.6, 3.1), (65536, 1.6, 3.5))
-LONGEST = (1.6, 4.0)
+#: Fixed values, read off labelled clean texts in half octaves of length. Highest ratios lie just above what all but one
+#: in 200 clean texts reach (1.91 at 512 bytes, 2.04 at 1,448, 2.16 at 2,896, 2.28 at 5,793, 2.38 at 11,585, 2.45 at 23,170,
+#: 2.53 at 46,341); junk of scrambled letters and symbols repeats itself and lies above. Lowest ratios lie between what random
+#: letters and digits reach (1.09 at 256 bytes, 1.24 at 512, 1.32 at 1,024, 1.37 at 2,048, 1.40 at any length) and the lowest
+#: of clean texts (1.34 at 362 bytes, 1.53 at 1,024, 1.77 at 2,048, 1.91 at 4,096, 2.16 at 11,585, 2.27 at any length above).
+BANDS = ((256, 1.15, 2.5), (362, 1.2, 1.86), (512, 1.28, 1.88), (724, 1.36, 1.92), (1024, 1.42, 1.99), (1448, 1.52, 2.05),
+         (2048, 1.6, 2.11), (2896, 1.66, 2.18), (4096, 1.72, 2.23), (5793, 1.76, 2.3), (8192, 1.85, 2.35), (11585, 1.9, 2.4),
+         (16384, 1.95, 2.44), (23170, 2.0, 2.47), (32768, 2.0, 2.51), (46341, 2.0, 2.55), (65536, 2.0, 2.6))
+LONGEST = (2.0, 2.8)
 #: A chunk's own limits, and the share of a text's chunks that may be outside them.
-CHUNK_LIMITS, CHUNK_SHARE = (1.5, 2.8), 0.25
+CHUNK_LIMITS, CHUNK_SHARE = (1.6, 2.3), 0.25
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 MEASURES = ("struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint,"

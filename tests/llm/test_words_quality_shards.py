@@ -147,3 +147,20 @@ def test_shards_are_contiguous_equal_and_complete(docs):
     for s in range(8):
         assert [m[1] for m in mine if m[0] == s] == list(range(sum(m[0] == s for m in mine)))
     assert sharding.shard_by_bytes(docs.limit(0), 8).count() == 0
+
+
+def test_bands_reject_junk_and_leave_clean_texts_alone():
+    """On sf0.01: of labelled texts that pass the base rule, most junk goes by its ratio and hardly any clean text does."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    sf = "/root/testdata/sf0.01"
+    label = {r["doc_id"]: r["quality"] for r in pq.read_table(f"{sf}/labels.parquet").to_pylist()}
+    rows = [r for r in pq.read_table(f"{sf}/documents.parquet", columns=["doc_id", "text"]).to_pylist() if r["doc_id"] in label]
+    found = quality.measure(pa.array([r["text"] for r in rows])).to_pylist()
+    kept: dict[int, list[bool]] = {0: [], 1: []}
+    for r, m in zip(rows, found, strict=True):
+        if m["n_words"] >= quality.MIN_WORDS and 100 * m["n_repeat_words"] <= quality.MAX_REPEAT_PERCENT * m["n_words"]:
+            kept[label[r["doc_id"]]].append(m["band_ok"])
+    assert len(kept[0]) >= 15 and sum(kept[0]) < 0.4 * len(kept[0])
+    assert len(kept[1]) > 200 and sum(not k for k in kept[1]) < 0.01 * len(kept[1])
