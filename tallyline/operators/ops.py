@@ -54,6 +54,15 @@ def agent_runs(runs: DataFrame) -> DataFrame:
         F.min(F.when(F.col("status") == "awaiting_approval", F.col("started_at"))).alias("oldest_awaiting_since"))
 
 
+def knowledge_documents(chunks: DataFrame) -> DataFrame:
+    """One row per document with its number of chunks, and one without a document that counts the prior resolutions."""
+    about = ["doc_type", "status", "access_level", "plant"]
+    per = chunks.where("doc_type <> 'prior_resolution'").groupBy("doc_id").agg(
+        *[F.min(c).alias(c) for c in about], F.count(F.lit(1)).alias("chunks"))
+    prior = chunks.where("doc_type = 'prior_resolution'").agg(F.count(F.lit(1)).alias("chunks"))
+    return per.unionByName(prior.withColumn("doc_type", F.lit("prior_resolution")), allowMissingColumns=True)
+
+
 def alerts(health: DataFrame, open_: DataFrame, used: DataFrame, runs: DataFrame, latest_run: DataFrame) -> DataFrame:
     """Conditions to act on, one row each."""
     out = []

@@ -417,21 +417,28 @@ def chunk_documents(documents: DataFrame, budget: int = 350) -> DataFrame:
     """Documents (doc_id, title, body) to section chunks of at most `budget` words, tables kept whole or split
     under their header.
 
-    Lines get running section and block numbers by windows over their document; a section's path is folded from the
-    headings above it. Blocks, split tables and chunks are bins filled in order of the text.
+    Lines get running section and block numbers by windows over their row: rows that share a doc_id, or have none, are split
+    each by itself. A section's path is folded from the headings above it, on heading lines only, and joined to its text.
+    Blocks, split tables and chunks are bins filled in order of the text.
     """
-    doc = Window.partitionBy("doc_id").orderBy("pos")
-    lines = documents.select("doc_id", F.col("title").alias("_doc_title"), F.posexplode(F.split("body", "\n")).alias("pos", "line"))
+    row = Window.partitionBy("row").orderBy("pos")
+    each = documents.groupBy("doc_id", F.xxhash64("title", "body").alias("_h")).agg(
+        F.any_value("title").alias("_doc_title"), F.any_value("body").alias("body"), F.count(F.lit(1)).cast("int").alias("_n"))
+    each = each.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n"))))  # equal rows stay as many
+    lines = each.select("doc_id", F.xxhash64("doc_id", "_h", "_n").alias("row"), "_doc_title",
+                        F.posexplode(F.split("body", "\n")).alias("pos", "line"))
     depth = F.length(F.regexp_extract("line", _HEADING, 1))
-    name = strip(F.regexp_extract("line", _HEADING, 2))
-    lines = lines.withColumns({"depth": depth, "name": name}).withColumns({
-        "section_no": F.count_if(F.col("depth") > 0).over(doc),
-        "h1": F.last(F.when(F.col("depth") == 1, F.col("name")), ignorenulls=True).over(doc),
-        "above": F.collect_list(F.when(F.col("depth") > 0, F.struct("depth", "name"))).over(doc)})
+    lines = lines.withColumn("depth", depth).withColumn("section_no", F.count_if(F.col("depth") > 0).over(row))
+    headings = lines.where("depth > 0").select("row", "pos", "section_no", "depth", strip(
+        F.regexp_extract("line", _HEADING, 2)).alias("name"))
+    headings = headings.withColumns({
+        "h1": F.last(F.when(F.col("depth") == 1, F.col("name")), ignorenulls=True).over(row),
+        "above": F.collect_list(F.struct("depth", "name")).over(row)})
     path = F.aggregate("above", F.array().cast("array<string>"), lambda held, h: F.when(
         h["depth"] > 1, F.array_append(F.slice(held, F.lit(1), h["depth"] - 2), h["name"])).otherwise(
         F.array().cast("array<string>")))
-    part = Window.partitionBy("doc_id", "section_no")
+    headings = headings.select("row", "section_no", "h1", F.array_join(path, " > ").alias("section"))
+    part = Window.partitionBy("row", "section_no")
     in_order = part.orderBy("pos")
     full = strip(F.col("line")) != ""
     text = lines.where("depth = 0").withColumns({
@@ -442,9 +449,10 @@ def chunk_documents(documents: DataFrame, budget: int = 350) -> DataFrame:
         "block", F.count_if(F.col("full") & F.col("starts")).over(in_order)).where("full")
     trimmed = F.when(F.col("pos") == F.col("first"), F.ltrim("line")).otherwise(F.col("line"))
     trimmed = F.when(F.col("pos") == F.col("last"), F.rtrim(trimmed)).otherwise(trimmed)
-    text = text.select("doc_id", "section_no", "block", "is_row", "pos", F.coalesce("h1", "_doc_title").alias("title"),
-                       F.array_join(path, " > ").alias("section"), trimmed.alias("text"), _words(F.col("line")).alias("words"))
-    blocks = text.groupBy("doc_id", "section_no", "title", "section", "block", "is_row").agg(
+    text = text.join(headings, ["row", "section_no"], "left").select(
+        "doc_id", "row", "section_no", "block", "is_row", "pos", F.coalesce("h1", "_doc_title").alias("title"),
+        F.coalesce("section", F.lit("")).alias("section"), trimmed.alias("text"), _words(F.col("line")).alias("words"))
+    blocks = text.groupBy("doc_id", "row", "section_no", "title", "section", "block", "is_row").agg(
         F.array_sort(F.collect_list(F.struct("pos", "text", "words"))).alias("l"), F.sum("words").cast("int").alias("words"))
     lead, rest = F.slice("l", 1, 2), F.slice("l", F.lit(3), F.greatest(F.size("l") - 2, F.lit(0)))
     lead_words = F.aggregate(lead, F.lit(0), lambda n, x: n + x["words"])
@@ -455,11 +463,11 @@ def chunk_documents(documents: DataFrame, budget: int = 350) -> DataFrame:
         b["texts"], b["words"] + lead_words))).otherwise(F.array(under(F.array().cast("array<string>"), lead_words)))
     whole = F.array(F.struct(F.array_join(texts(F.col("l")), "\n").alias("text"), F.col("words")))
     units = blocks.withColumn("units", F.when(F.col("is_row") & (F.col("words") > budget), split).otherwise(whole))
-    sections = units.groupBy("doc_id", "section_no", "title", "section").agg(F.flatten(F.transform(
+    sections = units.groupBy("doc_id", "row", "section_no", "title", "section").agg(F.flatten(F.transform(
         F.array_sort(F.collect_list(F.struct("block", "units"))), lambda b: b["units"])).alias("units"))
-    chunks = sections.select("doc_id", "section_no", "title", "section", F.posexplode(
+    chunks = sections.select("doc_id", "row", "section_no", "title", "section", F.posexplode(
         _filled(F.col("units"), F.lit(budget))).alias("bin", "chunk"))
-    place = Window.partitionBy("doc_id").orderBy("section_no", "bin")
+    place = Window.partitionBy("doc_id").orderBy("row", "section_no", "bin")
     label = F.when(F.col("section") != "", F.concat_ws(" > ", "title", "section")).otherwise(F.col("title"))
     return chunks.select(
         F.concat("doc_id", F.lit("#"), F.row_number().over(place) - 1).alias("chunk_id"), "doc_id", "title", "section",

@@ -338,11 +338,12 @@ def refused_transitions(spark: SparkSession, d: str) -> DataFrame:
     return refused.select("exception_id", "event_id", "action", "refused")
 
 
-@query("f06_exception_page", ["queue"], """select exception_id, severity, status, rule_id, owner from queue where
-    source = 'plt02' and severity = 'block' order by severity, status, rule_id, exception_id limit 50 offset 100""")
+@query("f06_exception_page", ["queue"], """select p.*, (select cast(count(*) as bigint) from queue where source = 'plt02' and severity
+    = 'block') as total from (select exception_id, severity, status, rule_id, owner from queue where source = 'plt02' and severity =
+    'block' order by severity, status, rule_id, exception_id limit 50 offset 100) p""")
 def exception_page(spark: SparkSession, d: str) -> DataFrame:
-    return ex.listing(queue(spark, d), {"source": "plt02", "severity": "block"}, limit=50, offset=100) \
-        .select("exception_id", "severity", "status", "rule_id", "owner")
+    return ex.page(queue(spark, d), {"source": "plt02", "severity": "block"}, limit=50, offset=100) \
+        .select("exception_id", "severity", "status", "rule_id", "owner", "total")
 
 
 @query("a24_exception_summary", ["queue"], """

@@ -372,11 +372,17 @@ def restricted_search(spark: SparkSession, d: str) -> DataFrame:
         "query_id.doc_type", "query_id.query_id", "chunk_id", "score", "rank")
 
 
-@query("a34_document_rollup", ["chs"], """select status, access_level, coalesce(plant, '-') as plant, cast(count(*) as bigint)
-    as chunks, min(doc_type) as doc_type from chs group by 1, 2, 3""")
+@query("a34_document_rollup", ["chs"], """select doc_id, doc_type, status, access_level, plant, cast(count(*) as bigint) as chunks from
+    chs group by all union all select null, 'prior_resolution', null, null, null, cast(count(*) as bigint) from labels where toxic
+    = 1""")
 def document_rollup(spark: SparkSession, d: str) -> DataFrame:
-    return chunks(spark, d).groupBy("status", "access_level", F.coalesce("plant", F.lit("-")).alias("plant")).agg(
-        F.count(F.lit(1)).alias("chunks"), F.min("doc_type").alias("doc_type"))
+    """The documents of the knowledge base; labels of toxic texts stand for prior resolutions."""
+    from tallyline.operators.ops import knowledge_documents
+
+    columns = ["doc_id", "doc_type", "status", "access_level", "plant"]
+    prior = dt.table(spark, d, "labels").where("toxic = 1").select(F.concat(F.lit("R"), "doc_id").alias("doc_id"), F.lit(
+        "prior_resolution").alias("doc_type"))
+    return knowledge_documents(chunks(spark, d).select(*columns).unionByName(prior, allowMissingColumns=True))
 
 
 # ---- answers and their scores --------------------------------------------------------------------------------

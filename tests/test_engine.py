@@ -114,6 +114,18 @@ def test_chunks_keep_tables_and_headings(spark):
     assert [r.chunk_id for r in rows] == [f"D1#{i}" for i in range(len(rows))]
 
 
+def test_rows_without_an_id_are_split_by_themselves(spark):
+    a, b = "# A\nfirst\n\n## One\nsecond", "third\n# B\nfourth"
+    rows = [("D", "x", a), ("D", "x", b), ("D", "x", a), (None, "y", b), (None, "y", a), ("E", "z", None)]
+    out = retrieval.chunk_documents(spark.createDataFrame(rows, "doc_id string, title string, body string")).collect()
+    alone = {t: sorted((r.title, r.section, r.text) for r in retrieval.chunk_documents(spark.createDataFrame(
+        [("D", "x", t)], "doc_id string, title string, body string")).collect()) for t in (a, b)}
+    assert sorted((r.title, r.section, r.text) for r in out if r.doc_id == "D") == sorted(2 * alone[a] + alone[b])
+    assert len([r for r in out if r.doc_id is None]) == len(alone[a]) + len(alone[b])
+    ids = [r.chunk_id for r in out if r.doc_id == "D"]
+    assert len(set(ids)) == len(ids)
+
+
 def test_boilerplate_is_sequential(spark):
     rows = [("q", "t", 0.90, 1), ("q", "t", 0.88, 2), ("q", "t", 0.86, 3), ("q", "u", 0.88, 4)]
     df = spark.createDataFrame(rows, "query_id string, doc_type string, score double, rank int")

@@ -90,6 +90,14 @@ def test_divisions_at_any_depth(spark, text, value):
     assert (df.agg(expr) if "avg" in text or "sum" in text else df.select(expr)).first()[0] == value
 
 
+def test_masters_keep_the_first_row_of_a_key(spark, tmp_path):
+    (tmp_path / "c.csv").write_text("customer_no,customer_name\nC1,Zed\nC2,Bee\nC1,Abe\n")
+    (tmp_path / "i.csv").write_text("item_no,item_name,uom,catch_weight_flag,avg_lb_per_case\nI1,z,lb,True,1.5\nI1,a,case,false,x\n")
+    assert {tuple(r) for r in files.read_customers(spark, str(tmp_path / "c.csv")).collect()} == {("C1", "Zed"), ("C2", "Bee")}
+    item = files.read_items(spark, str(tmp_path / "i.csv")).collect()
+    assert [(r.item_name, r.uom, r.catch_weight_flag, r.avg_lb_per_case) for r in item] == [("z", "LB", True, 1.5)]
+
+
 def test_questions_without_hits_are_counted(spark):
     hits = spark.createDataFrame([("q1", "bm25", "d1")], "query_id string, mode string, doc_id string")
     asked = spark.createDataFrame([("q1", "c", False), ("q2", "c", True)], "query_id string, challenge string, should_refuse boolean")
