@@ -5,7 +5,7 @@ large-star and small-star steps: every node hangs its larger neighbours, then it
 neighbour, until each component is a star around its smallest node. Links are kept once, from the larger node to the
 smaller. In the large step each of them only has to learn the smallest neighbour of its smaller end: the nodes that very many
 links end at are looked up from a broadcast of at most HOT_KEYS of them, so their links never meet in one task. The number of
-steps grows with the logarithm of the longest path. Every two steps are written to the shared folder, which cuts the lineage.
+steps grows with the logarithm of the longest path. Every step is written to the shared folder, which cuts the lineage.
 """
 
 from __future__ import annotations
@@ -75,17 +75,19 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """node and root (its component's smallest node) of every node of links (a, b) that is not itself a root."""
     below = stored(links.select("a", "b").where("a <> b").mapInArrow(_forest, "a bigint, b bigint"), name)
-    while True:
-        total = below.count()
+    while not _is_star(below):
         lows = below.groupBy("a").agg(F.min("b").alias("m"))
         ends = below.groupBy("b").agg(F.count(F.lit(1)).alias("n")).join(lows.withColumnRenamed("a", "b"), "b", "left")
-        large = lookup(below, ends.select("b", "n", F.coalesce("m", "b").alias("m")), "b", total).select(
-            "a", F.col("m").alias("b")).distinct()
+        large = stored(lookup(below, ends.select("b", "n", F.coalesce("m", "b").alias("m")), "b").select(
+            "a", F.col("m").alias("b")).distinct(), f"{name}_large")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         below = stored(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), name)
-        # a star: no root hangs under another node and every node hangs under one root
-        tops = below.select(F.col("b").alias("a")).distinct()
-        doubled = below.groupBy("a").count().where("count > 1").select("a")
-        if tops.join(below, "a", "left_semi").unionByName(doubled).isEmpty():
-            return below.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return below.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def _is_star(below: DataFrame) -> bool:
+    """Whether no root hangs under another node and every node hangs under one root, once."""
+    tops = below.select(F.col("b").alias("a")).distinct()
+    doubled = below.groupBy("a").count().where("count > 1").select("a")
+    return tops.join(below, "a", "left_semi").unionByName(doubled).isEmpty()

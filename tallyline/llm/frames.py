@@ -26,12 +26,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 HOT_KEYS = 1000
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str, total: int, n: str = "n") -> DataFrame:
-    """The inner join of rows with a table that has each key once and says in `n` how many of the `total` rows have it.
+def lookup(rows: DataFrame, table: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """The inner join of rows with a table that has each key once and says in `n` how many of the rows have it.
 
     Keys of more than one row in HOT_KEYS, of which there are fewer than HOT_KEYS, are broadcast, so the rows of a
-    frequent key stay in the tasks they are in.
+    frequent key stay in the tasks they are in. Without such keys it is a plain join.
     """
+    most, total = table.agg(F.max(n), F.sum(n)).first()
+    if most is None or most * HOT_KEYS <= total or total <= HOT_KEYS:
+        return rows.join(table, key)
     hot = F.broadcast(table.where(F.col(n) * HOT_KEYS > total))  # fewer than HOT_KEYS rows, as the shares add up to one
     rest = rows.join(hot.select(key), key, "left_anti").join(table.where(F.col(n) * HOT_KEYS <= total), key)
     return rows.join(hot, key).unionByName(rest)

@@ -373,10 +373,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, vec_id: str = "vec
     rooted = classes.select("id", "rep", "n", "mark").join(tree, "id", "left").withColumn("root", F.coalesce("root", "id"))
     totals = stored(rooted.join(adds.groupBy("id").agg(F.sum("b").alias("n_links")), "id").select(
         "root", "rep", "n", "mark", "n_links"), "vector_links")
-    n_classes = totals.count()
     lows = totals.groupBy("root").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("classes"))
-    of_class = lookup(totals, lows, "root", n_classes, "classes").select("mark", "n", "n_links", "component_id")
-    linked = lookup(rows.select("vec_id", F.struct(*mark).alias("mark")), of_class, "mark",
-                    totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]).select("vec_id", "n_links", "component_id")
+    of_class = lookup(totals, lows, "root", "classes").select("mark", "n", "n_links", "component_id")
+    linked = lookup(rows.select("vec_id", F.struct(*mark).alias("mark")), of_class, "mark").select(
+        "vec_id", "n_links", "component_id")
     alone = every.where("not fit").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

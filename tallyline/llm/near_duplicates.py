@@ -8,12 +8,14 @@ document is done as soon as all its places hold a value below the next rank, aft
 1. Documents with equal sets are one class, by a 128-bit fingerprint of the whole set; its smallest doc_id stands for it.
 2. Signatures are cut into bands; classes that share a band are candidates. ROWS of a band are chosen so that a pair at
    the wanted similarity shares none with a probability under MISS.
-3. In each band every class is compared with the band's leader, on full sets. Pairs that are already in one component
-   need no comparison. First the smallest class leads, then a member of the band's largest component, drawn for each
-   band, so that a class which failed one leader meets many more. Classes that still share a band across components form families; in each family the members
-   outside its largest component are compared with all others, block by block, in tasks that hold two blocks of sets and
-   send on confirmed links only. So no link is lost to the choice of leaders,
-   no pairs of a group are written out, and a large group of copies costs a comparison a member and band.
+3. In each of TURNS turns every class is compared, on full sets, with one leader: of the leaders of its bands the one it
+   shares most bands with. Pairs that are already in one component need no comparison. First the class of a band
+   leads whose bands have most members in all, which a family lies around; then a member of the band's largest component,
+   drawn anew for each band and turn. The members of a frequent leader
+   are dealt to parts of PART, each with a copy of its set. Classes that still share a band across components form families;
+   in each family the members outside its largest component are compared with all others, block by block, in tasks that hold
+   two blocks of at most about LOAD shingles and send on a forest of the confirmed links. So no link is lost to the choice
+   of leaders, no pairs of a group are written out, and a large group of copies costs a comparison a member and turn.
 4. Components follow from the confirmed links.
 
 Defined results: a text without words, or NULL, has an empty set and no links; one with fewer words than a shingle has
@@ -29,13 +31,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.components import components
-from tallyline.llm.frames import stored
+from tallyline.llm.components import components, forest
+from tallyline.llm.frames import lookup, stored
 from tallyline.llm.words import LOWER, Hasher, Words, blocks, mix, window_hashes
 
 PLACES = 128
 MISS = 1e-7
-BLOCK, COLUMNS = 256, 8192
+TURNS, PART = 2, 2048
+LOAD, ROW_LOAD, COLUMNS = 1 << 17, 256, 2048  # a row weighs ROW_LOAD beside its shingles
 _WORD = Hasher(LOWER, seed=61)
 _ROW = np.uint64(0x9E3779B97F4A7C15)
 
@@ -136,25 +139,31 @@ def shingle_set(text: Column, size: int) -> Column:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union; a leads and may come very often."""
+    pairs = stored(pairs, "pairs")
+    often = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    dealt = lookup(pairs, often, "a").withColumn("part", F.pmod(F.xxhash64("b"), parts).cast("int"))
     left = sets.select(F.col("rep").alias("b"), F.col("items").alias("y"))
-    right = sets.select(F.col("rep").alias("a"), F.col("items").alias("x"))
+    right = sets.select(F.col("rep").alias("a"), F.col("items").alias("x")).join(often, "a").withColumn(
+        "part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
     common = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - common
-    return pairs.join(left, "b").join(right, "a").where(100 * common >= percent * union).select("a", "b")
+    return dealt.drop("n").join(left, "b").join(right, ["a", "part"]).where(
+        100 * common >= percent * union).select("a", "b")
 
 
 def _compare(percent: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The confirmed links between two blocks of sets, across components."""
+        """A forest of the confirmed links between two blocks of sets, as links between the components they are in."""
         sides = []
         for t in (left, right):
             items = t["items"].combine_chunks()
-            sides.append((t["rep"].to_numpy(), t["root"].to_numpy(), items.value_lengths().to_numpy().astype(np.int64),
+            sides.append((t["root"].to_numpy(), items.value_lengths().to_numpy().astype(np.int64),
                           items.flatten().to_numpy()))
-        (a, root_a, n_a, x), (b, root_b, n_b, y) = sides
+        (root_a, n_a, x), (root_b, n_b, y) = sides
         common = np.intersect1d(x, y)
-        shared = np.zeros((len(a), len(b)), np.float32)
+        shared = np.zeros((len(root_a), len(root_b)), np.float32)
         for low in range(0, len(common), COLUMNS):
             part = common[low: low + COLUMNS]
             cells = []
@@ -166,22 +175,22 @@ def _compare(percent: int):
                 cells.append(m)
             shared += cells[0] @ cells[1].T
         union = n_a[:, None] + n_b[None, :] - shared
-        i, j = np.nonzero((100 * shared >= percent * union) & (root_a[:, None] != root_b[None, :]))
-        return pa.table({"a": pa.array(a[i], pa.int64()), "b": pa.array(b[j], pa.int64())})
+        hits = (100 * shared >= percent * union) & (root_a[:, None] != root_b[None, :])
+        return pa.table(dict(zip("ab", map(pa.array, forest(hits, root_a, root_b)), strict=True)))
     return run
 
 
 def _family_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between members (band, rep, root) of bands that hold several components, found block by block."""
+    """Links between members (band, rep, root, n) of bands that hold several components, found block by block."""
     lead = members.groupBy("band").agg(F.min("rep").alias("b"))
     family = components(members.join(lead, "band").select(F.col("rep").alias("a"), "b"), "families")
-    each = members.select("rep", "root").distinct().join(family.select(
+    each = members.select("rep", "root", (F.col("n") + ROW_LOAD).alias("load")).distinct().join(family.select(
         F.col("node").alias("rep"), F.col("root").alias("family")), "rep", "left").withColumn(
         "family", F.coalesce("family", "rep"))
-    sizes = each.groupBy("family", "root").agg(F.count(F.lit(1)).alias("n"))
+    sizes = each.groupBy("family", "root").agg(F.sum("load").alias("n"))
     major = sizes.groupBy("family").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.max("n").alias("n_major"),
                                         F.sum("n").alias("n_all"))
-    blocks_of = lambda n: F.ceil(n / BLOCK).cast("int")
+    blocks_of = lambda n: F.ceil(n / LOAD).cast("int")
     placed = each.join(major, "family").select(
         "family", "rep", "root", blocks_of(F.col("n_all") - F.col("n_major")).alias("minors"),
         blocks_of(F.col("n_major")).alias("majors"), (F.col("root") == F.col("major")).alias("is_major"))
@@ -193,7 +202,7 @@ def _family_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
         "j", F.explode(F.sequence("block", F.col("minors") + F.col("majors") - 1)))
     right = placed.withColumn("j", F.col("block")).withColumn(
         "i", F.explode(F.sequence(F.lit(0), F.least("block", F.col("minors") - 1))))
-    key, columns = ["family", "i", "j"], ["rep", "root", "items"]
+    key, columns = ["family", "i", "j"], ["root", "items"]
     right = right.select(*(F.col(c).alias(c) for c in key + columns))  # columns of its own, though one source
     return left.select(*key, *columns).groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(
         _compare(percent), "a bigint, b bigint")
@@ -207,8 +216,10 @@ def links(documents: DataFrame, size: int, percent: int) -> tuple[DataFrame, Dat
     classes = stored(whole.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")),
                      "classes")
     keyed = classes.select("rep", "n", F.explode("bands").alias("band"))
-    shared = keyed.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
-    members = stored(keyed.join(shared.select("band"), "band"), "band_members").select("band", "rep", "n")
+    shared = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = stored(keyed.join(shared, "band"), "band_members")
+    central = members.groupBy("rep").agg(F.sum("size").alias("central"))
+    members = stored(members.drop("size").join(central, "rep"), "central_members")
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
     # rows that share a doc_id have a set each
@@ -223,11 +234,13 @@ def links(documents: DataFrame, size: int, percent: int) -> tuple[DataFrame, Dat
             so_far = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
             here = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
         mixed = here.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-        return here.join(mixed.select("band"), "band"), so_far
+        return stored(here.join(mixed.select("band"), "band"), "open_members"), so_far
 
     found = None
-    for first in (F.col("rep"), F.xxhash64("band", "rep")):  # the smallest leads, then another of each band
+    for turn in range(TURNS):
         here, so_far = open_bands(found)
+        # the one that shares most bands with most leads, then others
+        first = F.struct(F.xxhash64("band", "rep", F.lit(turn))) if turn else F.struct(-F.col("central"), "rep")
         # the leader is of the band's largest component, so only members outside that have to be compared
         lead = here.groupBy("band", "root").agg(
             F.count(F.lit(1)).alias("size"), F.min_by(F.struct("rep", "n", "root"), first).alias("l")).groupBy("band").agg(
@@ -235,11 +248,12 @@ def links(documents: DataFrame, size: int, percent: int) -> tuple[DataFrame, Dat
             "band", F.col("l.rep").alias("a"), F.col("l.n").alias("n_a"), F.col("l.root").alias("root_a"))
         # sets whose sizes differ too much cannot reach the similarity
         pairs = here.join(lead, "band").where((F.col("root") != F.col("root_a")) & (
-            100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a"))).select("a", F.col("rep").alias("b")).distinct()
-        new = stored(_confirmed(pairs, sets, percent), "links")
+            100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a"))).groupBy(F.col("rep").alias("b"), "a").agg(
+            F.count(F.lit(1)).alias("bands")).groupBy("b").agg(F.max_by("a", F.struct("bands", -F.col("a"))).alias("a"))
+        new = stored(_confirmed(pairs.select("a", "b"), sets, percent), "links")
         found = new if so_far is None else so_far.unionByName(new)
     here, so_far = open_bands(found)
-    found = so_far.unionByName(_family_links(stored(here.select("band", "rep", "root"), "open_members"), sets, percent))
+    found = so_far.unionByName(_family_links(here.select("band", "rep", "root", "n"), sets, percent))
     # rows with one doc_id and different sets tie their classes together, and copies belong to their class
     twice = whole.join(classes.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"]).where("doc_id <> rep").select(
         F.col("doc_id").alias("a"), F.col("rep").alias("b"))
